@@ -1,6 +1,20 @@
 """The registered queries of this subpackage and their SQL."""
 
+from .fingerprint import op3_fingerprint
+from .licenses import op8_licenses
+from .packing import op6_packing
+from .quality import op4_quality
 from .simhash import op1_simhash
+from .tokencount import op2_token_counts
+from .toxicity import op7_toxicity
 
-QUERIES = {"op1_simhash": op1_simhash}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_token_counts": op2_token_counts,
+    "op3_fingerprint": op3_fingerprint,
+    "op4_quality": op4_quality,
+    "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
+    "op8_licenses": op8_licenses,
+}
 ORACLE = {}
