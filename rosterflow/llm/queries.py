@@ -1,7 +1,9 @@
 """The registered queries of this subpackage and their SQL."""
 
+from .decontam import op10_decontamination
 from .fingerprint import op3_fingerprint
 from .licenses import op8_licenses
+from .lm import op9_lm
 from .packing import op6_packing
 from .quality import op4_quality
 from .simhash import op1_simhash
@@ -16,5 +18,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_licenses": op8_licenses,
+    "op9_lm": op9_lm,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLE = {}

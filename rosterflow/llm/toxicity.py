@@ -6,10 +6,12 @@ clean text is the risk on unlabelled text less p times that on toxic text;
 where that difference falls below zero the step is reversed, so the flexible
 classifier cannot fit it away (Kiryo et al. 2017).
 
-A word scores by learned weights of itself and of its first four and five
-bytes; a text scores by the three best of its distinct words, so neither long
-nor short texts are favoured. Words are runs of bytes other than ASCII white
-space, A-Z lower-cased, without punctuation at their ends.
+A word's features are itself and its first four to eight bytes. Features whose
+share of toxic texts, by the counts in the samples and the prior, is not
+surely above a half get no weight. A word scores by its best feature and a
+text by the three best of its distinct words, so neither long nor short texts
+are favoured. Words are runs of bytes other than ASCII white space, A-Z
+lower-cased, without punctuation at their ends.
 
 The classifier is fitted on the driver on samples whose sizes are parameters;
 scoring reads every word of every row and shuffles nothing. Null text counts
@@ -18,6 +20,7 @@ empty table gives an empty result. Without toxic labels every score is the
 prior.
 """
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -29,7 +32,8 @@ from .workspace import held_out, table
 
 #: Toxic and unlabelled texts to fit on, and the longest among them in bytes.
 FIT_TOXIC, FIT_UNLABELLED, FIT_BYTES = 3000, 6000, 65_536
-BEST, LEAST_TEXTS, THRESHOLD = 3, 4, 0.7
+BEST, LEAST_TEXTS, SURE, THRESHOLD = 3, 4, 0.6, 0.7
+STEMS = range(4, 9)
 #: Words whose scores a worker remembers; beyond it, it starts anew.
 REMEMBERED = 400_000
 EDGES = b".,;:!?\"'()[]{}<>|*#%&$-_/\\"
@@ -40,11 +44,11 @@ def words_of(text: bytes) -> set[bytes]:
 
 
 def features(word: bytes) -> list[tuple[int, bytes]]:
-    return [(0, word), *((n, word[:n]) for n in (4, 5) if len(word) > n)]
+    return [(0, word), *((n, word[:n]) for n in STEMS if len(word) > n)]
 
 
 class Bags:
-    """Texts as arrays of words' feature numbers (three a word, the last number for none)."""
+    """Texts as sets of words, a word as the numbers of its features (the last number for none)."""
 
     def __init__(self, texts: list[bytes], known: dict[tuple[int, bytes], int]):
         none, memo = len(known), {}
@@ -53,37 +57,65 @@ class Bags:
             found = set()
             for word in words_of(text):
                 if word not in memo:
-                    ids = [known.get(f, none) for f in features(word)]
-                    memo[word] = tuple(ids + [none] * (3 - len(ids)))
+                    ids = sorted({known.get(f, none) for f in features(word)} - {none})
+                    memo[word] = tuple(ids + [none] * (1 + len(STEMS) - len(ids))) if ids else None
                 found.add(memo[word])
-            found.discard((none, none, none))
-            self.rows.append(np.array(sorted(found), np.int64).reshape(-1, 3))
+            self.rows.append(np.array(sorted(found - {None}), np.int64).reshape(-1, 1 + len(STEMS)))
 
     def best(self, weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Sum of the best positive word scores of each row, and the words' features."""
+        """Sum of the best positive word scores of each row, and the features they come from."""
         sums, chosen = np.zeros(len(rows)), []
         for i, r in enumerate(rows):
             words = self.rows[r]
-            scores = weights[words].sum(1)
+            scores = weights[words]
+            which = scores.argmax(1)
+            scores = scores[np.arange(len(words)), which]
             top = np.argsort(-scores, kind="stable")[:BEST]
             top = top[scores[top] > 0]
             sums[i] = scores[top].sum()
-            chosen.append(words[top])
+            chosen.append(words[top, which[top]])
         return sums, chosen
 
 
-def fit(toxic: list[bytes], unlabelled: list[bytes], prior: float, seed: int = 11, epochs: int = 12, batch: int = 256, rate: float = 0.05) -> tuple[dict[tuple[int, bytes], float], float]:
-    """(weight of each feature, base) that minimise the non-negative risk of the logistic loss."""
+def without_copies(texts: list[bytes]) -> list[bytes]:
+    """``texts`` without those that share half of their eight least word hashes with one text before them.
+
+    A group of copies would make every word of it look like a mark of its label.
+    """
+    seen: dict[int, list[int]] = {}
+    kept = []
+    for text in texts:
+        least = sorted({zlib.crc32(w) for w in words_of(text)})[:8]
+        shared = Counter(k for h in least for k in seen.get(h, ()))
+        if not shared or max(shared.values()) * 2 < len(least):
+            for h in least:
+                seen.setdefault(h, []).append(len(kept))
+            kept.append(text)
+    return kept
+
+
+def sure_features(toxic: list[bytes], unlabelled: list[bytes], prior: float) -> dict[tuple[int, bytes], float]:
+    """feature -> lower estimate of the share of toxic texts among those that have it, where that is at least SURE."""
     in_toxic, in_rest = Counter(), Counter()
     for count, texts in ((in_toxic, toxic), (in_rest, unlabelled)):
         for text in texts:
             count.update({f for w in words_of(text) for f in features(w)})
-    names = sorted(f for f, n in in_toxic.items() if n >= LEAST_TEXTS)
+    shares = {}
+    for f, n in in_toxic.items():
+        if n >= LEAST_TEXTS:
+            share = prior * (n - n**0.5) / len(toxic) / ((in_rest[f] + 1) / (len(unlabelled) + 1))
+            if share >= SURE:
+                shares[f] = min(share, 0.97)
+    return shares
+
+
+def fit(toxic: list[bytes], unlabelled: list[bytes], prior: float, seed: int = 11, epochs: int = 20, batch: int = 256, rate: float = 0.15) -> tuple[dict[tuple[int, bytes], float], float]:
+    """(weight of each feature, base) that minimise the non-negative risk of the logistic loss."""
+    toxic, unlabelled = without_copies(toxic), without_copies(unlabelled)
+    shares = sure_features(toxic, unlabelled, prior)
+    names, base = sorted(shares), -3.0
     known = {f: i for i, f in enumerate(names)}
-    # from how much more often a feature is in toxic texts
-    ratio = [((in_toxic[f] + 0.5) / (len(toxic) + 1)) / ((in_rest[f] + 0.5) / (len(unlabelled) + 1)) for f in names]
-    weights = np.append(np.clip(np.log(np.array(ratio)), -2, 2) if names else np.empty(0), 0.0)
-    base = -2.0
+    weights = np.array([0.8 * (np.log(shares[f] / (1 - shares[f])) - base) for f in names] + [0.0])
     p, u = Bags(toxic, known), Bags(unlabelled, known)
     rng = np.random.default_rng(seed)
     squares, base_square = np.full(len(weights), 1e-2), 1e-2
@@ -105,7 +137,7 @@ def fit(toxic: list[bytes], unlabelled: list[bytes], prior: float, seed: int = 1
             grad = np.zeros_like(weights)
             for words, g in ((words_p, g_p), (words_u, g_u)):
                 for w, x in zip(words, g, strict=True):
-                    np.add.at(grad, w.ravel(), x)
+                    np.add.at(grad, w, x)
             grad[-1] = 0
             grad += 1e-5 * weights
             slope = g_p.sum() + g_u.sum()
@@ -148,7 +180,7 @@ def classify(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC, ro
             words = set(text.lower().split())
             for word in words.difference(memo):
                 bare = word.strip(EDGES)
-                memo[word] = sum(weight.get(f, 0.0) for f in features(bare)) if bare else 0.0
+                memo[word] = max(weight.get(f, 0.0) for f in features(bare)) if bare else 0.0
             hot = [(memo[w], w.strip(EDGES)) for w in words if memo[w] > 0]
             out[i] = base + sum(sorted({w: s for s, w in hot}.values())[-BEST:])
         return out
