@@ -7,6 +7,7 @@ from .lm import op9_lm
 from .packing import op6_packing
 from .quality import op4_quality
 from .simhash import op1_simhash
+from .suffix import op5_suffix
 from .tokencount import op2_token_counts
 from .toxicity import op7_toxicity
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_fingerprint": op3_fingerprint,
     "op4_quality": op4_quality,
+    "op5_suffix": op5_suffix,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_licenses": op8_licenses,
