@@ -13,6 +13,8 @@ Null text counts as empty: one piece, the end token. Repeated rows are packed
 one by one. Extra columns are ignored. An empty table gives an empty result.
 """
 
+import re
+import struct
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -27,7 +29,9 @@ from .workspace import Workspace, table
 
 LIMIT, END = 4096, 1
 #: Words whose ids a worker remembers; beyond it, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+#: a-z and the small letters of Latin-1, which no normal form changes; then marks that start no contraction.
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def default_tokenizer() -> str:
@@ -36,21 +40,38 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The printable stand-ins for bytes in byte-level vocabularies: printable Latin-1 stands for itself, the rest follow from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+STAND_IN = {b: c for c, b in byte_alphabet().items()}
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds:
     """Token ids of a text, as little-endian unsigned 32-bit bytes.
 
     The tokenizer never joins tokens across white space, so a text's ids are
-    those of its words one after the other, and words are looked up.
+    those of its words one after the other, and words are looked up. It lower-
+    cases, so A-Z are lower-cased first, but for texts that may hold the names
+    of special tokens.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.merges = self.tokenizer.model.tokenize
         self.known: dict[bytes, bytes] = {}
 
     def __call__(self, text: bytes) -> bytes:
-        words = text.split()
+        words = (text if b"<|" in text else text.lower()).split()
         new = set(words).difference(self.known)
         if new:
             if len(self.known) + len(new) > REMEMBERED:
@@ -60,15 +81,21 @@ class WordIds:
         return b"".join(map(self.known.__getitem__, words))
 
     def _learn(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            made = self.tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(made.ids, "<u4").tobytes()
-            ends = np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(part)), "right").tolist()
-            at = 0
-            for word, end in zip(part, ends, strict=True):
-                self.known[word] = ids[4 * at : 4 * end]
-                at = end
+        """Most words are small letters, then perhaps marks: two pre-tokens whose merges are all there is to do."""
+        merges, rest = self.merges, []
+        for word in words:
+            plain = PLAIN.fullmatch(word)
+            if plain is None:
+                rest.append(word)
+                continue
+            letters, marks = plain.groups()
+            ids = [t.id for t in merges(letters.decode("latin-1").translate(STAND_IN))]
+            if marks:
+                ids += [t.id for t in merges(marks.decode())]
+            self.known[word] = pack_ids(ids)
+        if rest:
+            made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
+            self.known.update((w, pack_ids(e.ids)) for w, e in zip(rest, made, strict=True))
 
 
 def pieces(docs: DataFrame, tokenizer_json: str, limit: int = LIMIT, end: int = END) -> DataFrame:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .packing import byte_alphabet, default_tokenizer
 from .workspace import table
 
 #: Words whose counts a worker remembers; beyond it, it starts anew.
@@ -28,13 +29,6 @@ REMEMBERED = 500_000
 WORD_END = "</w>"
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable stand-ins for bytes in byte-level vocabularies: printable Latin-1 stands for itself, the rest follow from U+0100."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def surfaces(tokenizer_json: str) -> list[bytes]:
     """The byte strings of a byte-level vocabulary, without marks of word ends and special tokens."""
     spec, alphabet = json.loads(tokenizer_json), byte_alphabet()
@@ -106,8 +100,6 @@ class LongestMatch:
 
 def token_counts(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, n_words, n_tokens of each row. The vocabulary file's path is a parameter; it is read on the driver."""
-    from .packing import default_tokenizer
-
     vocabulary = surfaces(Path(tokenizer_path or default_tokenizer()).read_text(encoding="utf-8"))
     built = LongestMatch(vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast((built.step, built.fail, built.popped))
