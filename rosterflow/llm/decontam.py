@@ -233,6 +233,26 @@ def leaks(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT, recall:
     return reduce(DataFrame.unionAll, [scan(b) for b in item_blocks(items)])
 
 
+def clean(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT, recall: float = RECALL, agree: float = AGREE, sampled: int = SAMPLED) -> DataFrame:
+    """The rows of ``docs`` that leak no item, with all their columns."""
+
+    def without(df: DataFrame, block: list[tuple]) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast([t for _, t in block])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Items(shared.value, max_edit, recall, agree, sampled)
+            for batch in batches:
+                texts, done, leaked = [plain(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()], 0, set()
+                for part in spans(texts, SPAN):
+                    leaked |= {done + k for k, _, _ in own.leaks(part)}
+                    done += len(part)
+                yield batch.take(pa.array([k for k in range(batch.num_rows) if k not in leaked], pa.int64()))
+
+        return df.mapInArrow(run, df.schema)
+
+    return reduce(without, item_blocks(items), docs)
+
+
 def to_arrow(kind):
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .workspace import held_out, table
 
@@ -164,15 +165,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     return [(r["text"].encode(), r["label"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
 
 
-def score(docs: DataFrame, logits, threshold: float) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row; ``logits`` maps a list of texts to numbers on the executors."""
+def score(docs: DataFrame, logits, threshold: float, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted of each row; ``logits`` maps a list of texts to numbers on the executors.
+
+    With ``carry``, all columns of ``docs`` and ``__score``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             made = np.concatenate([logits(part) for part in spans(texts)]) if texts else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(sigmoid(made))], ["doc_id", "held_out", "score"])
+            out = batch if carry else batch.select(["doc_id", "held_out"])
+            names = [*out.schema.names, "__score" if carry else "score"]
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(sigmoid(made))], names)
 
+    if carry:
+        return docs.mapInArrow(run, StructType([*docs.schema, StructField("__score", DoubleType())]))
     narrow = docs.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "text")
     kind = narrow.schema["doc_id"].dataType.simpleString()
     return narrow.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -15,6 +15,7 @@ ignored. An empty table gives an empty result.
 """
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +121,149 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+# Near copies by shingle similarity.
+
+SEGMENT, SEGMENTS, WEAK, FLIPS = 21, 6, 6, 2
+#: Of the 126 bits, how many may differ; two texts at SIMILAR differ in 19 on average.
+FAR, SIMILAR = 36, 0.8
+#: Entries of an index key whose members are compared with its leaders instead of each other.
+HOT, LEADERS = 32, 4
+
+
+def margins(hashes: np.ndarray) -> np.ndarray:
+    """For each of 126 bits, in how many more hashes than not it is set."""
+    with np.errstate(over="ignore"):
+        more = hashes * np.uint64(0x9E3779B97F4A7C15)
+    more ^= more >> np.uint64(29)
+    ones = np.zeros(128, np.int64)
+    for i in range(0, len(hashes), 4096):
+        both = np.stack([hashes[i : i + 4096], more[i : i + 4096]], 1).view(np.uint8)
+        ones += np.unpackbits(both, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return (2 * ones - len(hashes))[: SEGMENT * SEGMENTS]
+
+
+def _ball() -> list[tuple[int, ...]]:
+    return [c for k in range(FLIPS + 1) for c in combinations(range(WEAK), k)]
+
+
+def index_keys(margin: np.ndarray) -> tuple[list[int], list[int]]:
+    """(own key, keys to probe) over all segments: a Hamming ball over the segment's least certain bits."""
+    bits = (margin > 0).reshape(SEGMENTS, SEGMENT)
+    values = (bits << np.arange(SEGMENT)).sum(1) | np.arange(SEGMENTS) << SEGMENT
+    weak = np.argsort(np.abs(margin.reshape(SEGMENTS, SEGMENT)), axis=1, kind="stable")[:, :WEAK]
+    flips = np.array([[sum(1 << int(w[i]) for i in c) for c in _ball()] for w in weak])
+    return values.tolist(), (values[:, None] ^ flips).ravel().tolist()
+
+
+def text_key() -> list[Column]:
+    """Columns n, d, t that name a row: whether its id is null, the id, and the hash of its text."""
+    return [F.col("doc_id").isNull().cast("int").alias("__n"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("__d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__t")]
+
+
+def shingle_index(texts: DataFrame, width: int) -> DataFrame:
+    """t, low, high (126 bits), own and probes (index keys) of each row of ``texts`` (t, text) that has a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, low, high, own, probes = [], [], [], [], []
+            for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+                hashes = shingle_hashes(text or b"", width)
+                if not len(hashes):
+                    continue
+                margin = margins(hashes)
+                packed = np.packbits(np.concatenate([margin > 0, [False, False]]), bitorder="little").view(np.int64)
+                mine, tried = index_keys(margin)
+                kept.append(i)
+                low.append(int(packed[0]))
+                high.append(int(packed[1]))
+                own.append(mine)
+                probes.append(tried)
+            keys = [pa.array(v, pa.list_(pa.int32())) for v in (own, probes)]
+            yield pa.RecordBatch.from_arrays([batch.column("t").take(pa.array(kept, pa.int32())), pa.array(low, pa.int64()), pa.array(high, pa.int64()), *keys], ["t", "low", "high", "own", "probes"])
+
+    return texts.select("t", "text").mapInArrow(run, "t bigint, low bigint, high bigint, own array<int>, probes array<int>")
+
+
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """t, grams (distinct shingle hashes) of each row of ``texts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t or b"", width)).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(sets, pa.list_(pa.int64()))], ["t", "grams"])
+
+    return texts.select("t", "text").mapInArrow(run, "t bigint, grams array<bigint>")
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR) -> DataFrame:
+    """``docs`` without near copies: of texts linked by a Jaccard similarity of word shingles of ``similar`` or more, one row stays.
+
+    Equal texts collapse first; the row with the smallest id stays (null last)
+    and stands for them. Fingerprints of 126 bits lie in a table by each of
+    their six segments, and probe each segment with all flips of up to two of
+    its six least certain bits. Fetched matches are verified by their complete
+    distance and then by the shingles themselves. Of every linked group the
+    text that is first by row stays, and the rest goes.
+
+    Members of a key that very many texts share are compared with a few
+    leaders, and what is left is indexed anew, until no such key is left or
+    leaders link nothing more; then the members are compared with each other.
+    A text without words (null counts as empty) only has equal ones. All
+    columns are kept. An empty table gives an empty result.
+    """
+    work = Workspace(docs.sparkSession)
+    names = docs.columns
+    keyed = docs.select(*names, *text_key())
+    firsts = work.settle(keyed.groupBy("__t").agg(F.min(F.struct("__n", "__d")).alias("first")).withColumnRenamed("__t", "t"))
+    # rows that stand for their text; rows repeated as a whole are equal
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), *text_key()).withColumnRenamed("__t", "t")
+    index = work.settle(shingle_index(texts, width).dropDuplicates(["t"]))
+    removed = None
+    final = False
+    while True:
+        alive = index if removed is None else index.join(removed, "t", "left_anti")
+        entries = alive.select("t", "low", "high", F.explode("own").alias("key"))
+        probes = alive.select("t", "low", "high", F.explode("probes").alias("key"))
+        sizes = entries.groupBy("key").agg(F.count("*").alias("c"))
+        there = F.struct("t", "low", "high").alias("y")
+        if final:
+            hot, cold, some = None, entries.select("key", there), False
+        else:
+            hot = work.settle(sizes.where(F.col("c") > HOT).select("key"))
+            some = bool(hot.limit(1).count())
+            cold = (entries.join(hot, "key", "left_anti") if some else entries).select("key", there)
+        found = probes.join(cold, "key").select("t", "low", "high", "y")
+        if some:
+            order = [F.min_by(there, F.xxhash64("t", F.lit(k))) for k in range(LEADERS)]
+            leaders = entries.join(hot, "key").groupBy("key").agg(F.array_distinct(F.array(*order)).alias("leaders"))
+            found = found.unionAll(probes.join(leaders, "key").select("t", "low", "high", F.explode("leaders").alias("y")))
+        apart = F.bit_count(F.col("low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("y.high")))
+        pairs = found.where((F.col("t") != F.col("y.t")) & (apart <= FAR)).select(F.least("t", "y.t").alias("a"), F.greatest("t", "y.t").alias("b")).distinct()
+        pairs = work.settle(pairs)
+        asked = pairs.select(F.col("a").alias("t")).unionAll(pairs.select(F.col("b").alias("t"))).distinct()
+        sets = work.settle(shingle_sets(texts.join(asked, "t").dropDuplicates(["t"]), width))
+        left, right = sets.select(F.col("t").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("t").alias("b"), F.col("grams").alias("gb"))
+        both = F.size(F.array_intersect("ga", "gb"))
+        linked = pairs.join(left, "a").join(right, "b").where(both >= similar * (F.size("ga") + F.size("gb") - both)).select("a", "b")
+        labels = work.settle(connected(work, linked))
+        if labels.limit(1).count():
+            who = labels.join(firsts, labels["node"] == firsts["t"])
+            stays = who.groupBy("component").agg(F.min_by("node", "first").alias("stays"))
+            gone = labels.join(stays, "component").where("node <> stays").select(F.col("node").alias("t"))
+            removed = work.settle(gone if removed is None else removed.unionAll(gone))
+        elif some:
+            final = True
+            continue
+        if not some:
+            break
+    kept = firsts.select("t", F.col("first.*"))
+    if removed is not None:
+        kept = kept.join(removed, "t", "left_anti")
+    kept = kept.withColumnRenamed("t", "__t")
+    out = keyed.join(kept, ["__n", "__d", "__t"]).dropDuplicates(["__n", "__d", "__t"])
+    return out.select(*names)
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     """Three-word shingles over whole documents: doc_id, fingerprint (16 hex digits), component_id."""
     from .workspace import table

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import spans
+from .simhash import text_key
 from .workspace import Workspace, table
 
 LENGTH = 200
@@ -399,12 +400,52 @@ def _merge(spans_: list[dict], size: int) -> list[tuple[int, int]]:
 
 
 def duplicate_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
-    """doc_id, text (null as empty) and spans (array of a, b: byte ranges to remove, neither sorted nor merged; null for none)."""
+    """The columns of ``docs`` and spans (array of a, b: byte ranges to remove, neither sorted nor merged; null for none)."""
     work = Workspace(docs.sparkSession)
-    rows = _with_key(docs)
-    found = repeats(work, rows, length, keep)
-    flat = rows.select("doc_id", "text", F.col("k.n").alias("n"), F.col("k.d").alias("d"), F.col("k.t").alias("t"))
-    return flat.join(found, ["n", "d", "t"], "left").select("doc_id", "text", "spans")
+    found = repeats(work, _with_key(docs), length, keep)
+    names = {"n": "__n", "d": "__d", "t": "__t"}
+    found = found.select(*[F.col(c).alias(k) for c, k in names.items()], F.col("spans").alias("__spans"))
+    return docs.select(*docs.columns, *text_key()).join(found, list(names.values()), "left").select(*docs.columns, "__spans")
+
+
+def deduplicated(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
+    """``docs`` with repeated runs cut out of ``text`` and n_chars counted anew.
+
+    Cuts never split a character. A document that loses all its text goes.
+    """
+    found, names = duplicate_spans(docs, length, keep), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, texts, sizes = [], [], []
+            old = batch.column("text").cast(pa.binary()).to_pylist()
+            counts = batch.column("n_chars").to_pylist()
+            for i, (text, spans_) in enumerate(zip(old, batch.column("__spans").to_pylist(), strict=True)):
+                if spans_:
+                    ranges = [(a, b) for a, b in (characters(text, a, b) for a, b in _merge(spans_, len(text))) if a < b]
+                    cut = without(text, ranges).decode("utf-8", "replace")
+                    if not cut.strip():
+                        continue
+                    texts.append(cut)
+                    sizes.append(len(cut))
+                else:
+                    texts.append(None if text is None else text.decode("utf-8", "replace"))
+                    sizes.append(counts[i])
+                kept.append(i)
+            out = batch.take(pa.array(kept, pa.int64())).select(names)
+            new = {"text": pa.array(texts, out.schema.field("text").type), "n_chars": pa.array(sizes, out.schema.field("n_chars").type)}
+            yield pa.RecordBatch.from_arrays([new.get(c, out.column(c)) for c in names], names)
+
+    return found.mapInArrow(run, docs.schema)
+
+
+def characters(text: bytes, a: int, b: int) -> tuple[int, int]:
+    """The largest range of whole characters in bytes a to b."""
+    while a < len(text) and text[a] & 0xC0 == 0x80:
+        a += 1
+    while b < len(text) and text[b] & 0xC0 == 0x80:
+        b -= 1
+    return a, b
 
 
 def without(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
@@ -421,7 +462,8 @@ def removal_report(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, removed, count, digest = [], [], [], []
-            for text, spans_ in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, spans_ in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+                text = text or b""
                 ranges = _merge(spans_ or [], len(text))
                 size.append(len(text))
                 removed.append(sum(b - a for a, b in ranges))
@@ -430,7 +472,8 @@ def removal_report(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, pa.int64()) for v in (size, removed, count)), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    narrow = found.select("doc_id", "text", "__spans")
+    return narrow.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def op5_suffix(spark, sf_dir: str) -> DataFrame:

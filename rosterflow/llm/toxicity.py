@@ -166,8 +166,8 @@ def learned(docs: DataFrame, labels: DataFrame, toxic_rows: int, rows: int, most
     return fit(toxic, unlabelled_sample(docs, rows, most_bytes), prior)
 
 
-def classify(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC, rows: int = FIT_UNLABELLED, most_bytes: int = FIT_BYTES, threshold: float = THRESHOLD) -> DataFrame:
-    """Toxicity of every row of ``docs``, learned from toxic rows of ``labels`` outside the held-out third and unlabelled text."""
+def scorer(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC, rows: int = FIT_UNLABELLED, most_bytes: int = FIT_BYTES):
+    """A function from texts to logits, learned from toxic rows of ``labels`` outside the held-out third and unlabelled text."""
     weights, base = learned(docs, labels, toxic_rows, rows, most_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     memo: dict[bytes, float] = {}
@@ -181,11 +181,22 @@ def classify(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC, ro
             for word in words.difference(memo):
                 bare = word.strip(EDGES)
                 memo[word] = max(weight.get(f, 0.0) for f in features(bare)) if bare else 0.0
-            hot = [(memo[w], w.strip(EDGES)) for w in words if memo[w] > 0]
-            out[i] = base + sum(sorted({w: s for s, w in hot}.values())[-BEST:])
+            hot = {w.strip(EDGES): memo[w] for w in words if memo[w] > 0}
+            out[i] = base + sum(sorted(hot.values())[-BEST:])
         return out
 
-    return score(docs, logits, threshold)
+    return logits
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **limits) -> DataFrame:
+    """Toxicity of every row of ``docs``; ``limits`` are those of scorer()."""
+    return score(docs, scorer(docs, labels, **limits), threshold)
+
+
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **limits) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, with all their columns."""
+    scored = score(docs, scorer(docs, labels, **limits), threshold, carry=True)
+    return scored.where(F.col("__score") < threshold).select(*docs.columns)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
