@@ -1,6 +1,6 @@
 """The registered queries of the library and their SQL."""
 
-from . import audience
+from . import audience, geography
 
-QUERIES = audience.QUERIES
-ORACLE = audience.ORACLE
+QUERIES = audience.QUERIES | geography.QUERIES
+ORACLE = audience.ORACLE | geography.ORACLE
