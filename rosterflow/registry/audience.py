@@ -238,7 +238,7 @@ MORE = {
     "door_progress": (door_progress, contacts_sql("SELECT cast(sum(n) AS BIGINT) AS people, cast(sum(k) AS BIGINT) AS people_done, count(*) AS doors, count(*) FILTER (WHERE n = k) AS doors_done FROM (SELECT door_i, count(*) AS n, count(*) FILTER (WHERE external_id IN (SELECT person_id FROM latest WHERE outcome IS NOT NULL)) AS k FROM persons GROUP BY 1)", "persons")),
     "event_dedupe": (lambda s, d: contacts.deduplicated(events(s, d)).select("sequence", "turf_id"), sql("SELECT sequence, turf_id FROM contacts WHERE client_event_id IS NULL UNION ALL SELECT sequence, turf_id FROM (SELECT * FROM contacts WHERE client_event_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY client_event_id ORDER BY sequence) = 1)", "contacts")),
     "event_pull_page": (lambda s, d: contacts.page(events(s, d), "t3", 500, 40).select("sequence", "person_id", "kind"), sql("SELECT sequence, person_id, kind FROM contacts WHERE turf_id = 't3' AND sequence > 500 ORDER BY sequence LIMIT 40", "contacts")),
-    "walks_open_close": (walks, sql("SELECT turf_id, phone, opened_at, lead(opened_at) OVER (PARTITION BY phone ORDER BY opened_at, turf_id) AS closed_at FROM (SELECT *, epoch(opened_at)::BIGINT - epoch(lag(opened_at) OVER (PARTITION BY phone, turf_id ORDER BY opened_at))::BIGINT AS gap FROM (SELECT DISTINCT turf_id, cast(sequence % 11 AS string) AS phone, created_at AS opened_at FROM contacts)) WHERE gap IS NULL OR gap >= 18000", "contacts")),
+    "walks_open_close": (walks, sql("SELECT turf_id, phone, opened_at, lead(opened_at) OVER (PARTITION BY phone ORDER BY opened_at, turf_id) AS closed_at FROM (SELECT *, epoch_us(opened_at) - epoch_us(lag(opened_at) OVER (PARTITION BY phone, turf_id ORDER BY opened_at)) AS gap FROM (SELECT DISTINCT turf_id, cast(sequence % 11 AS string) AS phone, created_at AS opened_at FROM contacts)) WHERE gap IS NULL OR gap >= 18000000000", "contacts")),
     "walk_order": (lambda s, d: contacts.walk_order(units(s, d)).withColumn("place", F.col("place").cast("bigint")), sql("SELECT building_id, door_id, row_number() OVER (PARTITION BY building_id ORDER BY CASE WHEN u = '' THEN 1 ELSE 0 END, coalesce(CASE WHEN u LIKE 'PH%' THEN 1000000 ELSE try_cast(regexp_extract(u, '([0-9]+)', 1) AS int) END, -1) DESC, regexp_extract(u, '([A-Z]*)$', 1), door_id) AS place FROM (SELECT person_h % 20 AS building_id, person_h AS door_id, CASE WHEN person_h % 9 = 0 THEN 'PH' WHEN person_h % 9 = 1 THEN '' ELSE cast(person_h % 12 AS string) || CASE person_h % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END END AS u FROM persons)", "persons")),
     "next_building": (lambda s, d: contacts.next_building(frame(s, d, "persons").select(F.col("zip5").alias("turf_id"), F.col("building_i").alias("building_id"), F.col("city").alias("street"), (F.col("person_h") % 500).alias("number")).distinct()), sql("SELECT turf_id, building_id, coalesce(lead(building_id) OVER (PARTITION BY turf_id ORDER BY street, number, building_id), first_value(building_id) OVER (PARTITION BY turf_id ORDER BY street, number, building_id)) AS next_id FROM (SELECT DISTINCT zip5 AS turf_id, building_i AS building_id, city AS street, person_h % 500 AS number FROM persons)", "persons")),
 }
