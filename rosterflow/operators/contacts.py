@@ -79,7 +79,8 @@ def opened_walks(opens: DataFrame, hours: int = DEDUPE_WALK_HOURS) -> DataFrame:
     walk; opening another walk closes the phone's walk before it.
     """
     by_turf = Window.partitionBy("phone", "turf_id").orderBy("opened_at")
-    gap = F.unix_micros("opened_at") - F.unix_micros(F.lag("opened_at").over(by_turf))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    gap = micros(F.col("opened_at")) - micros(F.lag("opened_at").over(by_turf))
     fresh = opens.withColumn("new", F.coalesce(gap >= hours * 3_600_000_000, F.lit(True))).where("new").drop("new")
     return fresh.withColumn("closed_at", F.lead("opened_at").over(Window.partitionBy("phone").orderBy("opened_at", "turf_id")))
 
