@@ -145,3 +145,31 @@ def report(found: DataFrame) -> DataFrame:
         F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
         F.when(F.size("places") > 0, F.lit(1.0)).otherwise(best).alias("score"),
     )
+
+
+def report_sql(templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> str:
+    """The report over ``documents`` in DuckDB's SQL: every block against every template."""
+
+    def listed(words: list[str]) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+    known = []
+    for label, notice in templates:
+        words = template_words(notice)
+        known.append(f"{{'label': '{label}', 'words': {listed(words)}, 'need': {math.ceil(threshold * len(words) - 1e-9)}, 'size': {len(words)}}}")
+    places = []
+    for phrase in phrases:
+        words = phrase.split()
+        met = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(words, 1))
+        places.append(f"list_filter(range(0, greatest(len(w) - {len(words) - 1}, 0)), lambda i: {met})")
+    base = ", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, label in enumerate(phrases.values()))
+    every = "list_concat(" + ", list_concat(".join(f"p{i}" for i in range(len(phrases) - 1)) + f", p{len(phrases) - 1}" + ")" * (len(phrases) - 1)
+    return f"""WITH low AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+    cut AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '{GAP}'), lambda x: x <> '') AS w,
+      list_transform(str_split(t, chr(10)), lambda l: list_distinct(regexp_split_to_array(l, '{GAP}'))) AS blocks FROM low),
+    found AS (SELECT doc_id, len(w) AS n, {", ".join(f"{x} AS p{i}" for i, x in enumerate(places))},
+      flatten(list_transform(blocks, lambda b: list_filter(list_transform([{", ".join(known)}], lambda k: {{'label': k.label, 'met': len(list_intersect(k.words, b)) >= k.need, 'share': len(list_intersect(k.words, b)) / k.size}}), lambda m: m.met))) AS ms FROM cut),
+    gathered AS (SELECT doc_id, n, ms, {every} AS p, list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM found)
+    SELECT doc_id, n AS n_words, len(p) AS n_base, list_min(p) AS first_word, list_max(p) AS last_word, array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+      array_to_string(list_sort(list_distinct(list_concat(base, list_transform(ms, lambda m: m.label)))), ',') AS labels,
+      CASE WHEN len(p) > 0 THEN 1.0::DOUBLE ELSE coalesce(list_max(list_transform(ms, lambda m: m.share)), 0.0)::DOUBLE END AS score FROM gathered"""

@@ -2,7 +2,7 @@
 
 from .decontam import op10_decontamination
 from .fingerprint import op3_fingerprint
-from .licenses import op8_licenses
+from .licenses import op8_licenses, report_sql
 from .lm import op9_lm
 from .packing import op6_packing
 from .quality import op4_quality
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_lm": op9_lm,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE = {}
+ORACLE = {"op8_licenses": report_sql()}
