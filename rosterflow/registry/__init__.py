@@ -1,6 +1,6 @@
 """The registered queries of the library and their SQL."""
 
-from . import audience, geography
+from . import audience, boards, geography
 
-QUERIES = audience.QUERIES | geography.QUERIES
-ORACLE = audience.ORACLE | geography.ORACLE
+QUERIES = audience.QUERIES | geography.QUERIES | boards.QUERIES
+ORACLE = audience.ORACLE | geography.ORACLE | boards.ORACLE
