@@ -127,7 +127,7 @@ SEGMENT, SEGMENTS, WEAK, FLIPS = 21, 6, 6, 2
 #: Of the 126 bits, how many may differ; two texts at SIMILAR differ in 19 on average.
 FAR, SIMILAR = 36, 0.8
 #: Entries of an index key whose members are compared with its leaders instead of each other.
-HOT, LEADERS = 32, 4
+HOT, LEADERS = 32, 2
 
 
 def margins(hashes: np.ndarray) -> np.ndarray:
@@ -206,8 +206,9 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR)
     text that is first by row stays, and the rest goes.
 
     Members of a key that very many texts share are compared with a few
-    leaders, and what is left is indexed anew, until no such key is left or
-    leaders link nothing more; then the members are compared with each other.
+    leaders, and what is left under such keys is compared anew, until no such
+    key is left or leaders link nothing more; then its members are compared
+    with each other.
     A text without words (null counts as empty) only has equal ones. All
     columns are kept. An empty table gives an empty result.
     """
@@ -218,21 +219,15 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR)
     # rows that stand for their text; rows repeated as a whole are equal
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), *text_key()).withColumnRenamed("__t", "t")
     index = work.settle(shingle_index(texts, width).dropDuplicates(["t"]))
-    removed = None
-    final = False
+    entries = index.select("t", "low", "high", F.explode("own").alias("key"))
+    probes = index.select("t", "low", "high", F.explode("probes").alias("key"))
+    removed, final = None, False
     while True:
-        alive = index if removed is None else index.join(removed, "t", "left_anti")
-        entries = alive.select("t", "low", "high", F.explode("own").alias("key"))
-        probes = alive.select("t", "low", "high", F.explode("probes").alias("key"))
-        sizes = entries.groupBy("key").agg(F.count("*").alias("c"))
         there = F.struct("t", "low", "high").alias("y")
-        if final:
-            hot, cold, some = None, entries.select("key", there), False
-        else:
-            hot = work.settle(sizes.where(F.col("c") > HOT).select("key"))
-            some = bool(hot.limit(1).count())
-            cold = (entries.join(hot, "key", "left_anti") if some else entries).select("key", there)
-        found = probes.join(cold, "key").select("t", "low", "high", "y")
+        hot = work.settle(entries.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("key"))
+        some = not final and bool(hot.limit(1).count())
+        cold = entries.join(hot, "key", "left_anti") if some else entries
+        found = probes.join(cold.select("key", there), "key").select("t", "low", "high", "y")
         if some:
             order = [F.min_by(there, F.xxhash64("t", F.lit(k))) for k in range(LEADERS)]
             leaders = entries.join(hot, "key").groupBy("key").agg(F.array_distinct(F.array(*order)).alias("leaders"))
@@ -246,16 +241,21 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR)
         both = F.size(F.array_intersect("ga", "gb"))
         linked = pairs.join(left, "a").join(right, "b").where(both >= similar * (F.size("ga") + F.size("gb") - both)).select("a", "b")
         labels = work.settle(connected(work, linked))
-        if labels.limit(1).count():
+        work.drop(pairs, sets)
+        moved = bool(labels.limit(1).count())
+        if moved:
             who = labels.join(firsts, labels["node"] == firsts["t"])
             stays = who.groupBy("component").agg(F.min_by("node", "first").alias("stays"))
             gone = labels.join(stays, "component").where("node <> stays").select(F.col("node").alias("t"))
             removed = work.settle(gone if removed is None else removed.unionAll(gone))
-        elif some:
-            final = True
-            continue
         if not some:
             break
+        # only hot keys still hold texts that were not compared
+        final = not moved
+        entries, probes = entries.join(hot, "key", "left_semi"), probes.join(hot, "key", "left_semi")
+        if removed is not None:
+            entries, probes = entries.join(removed, "t", "left_anti"), probes.join(removed, "t", "left_anti")
+        entries, probes = work.settle(entries), work.settle(probes)
     kept = firsts.select("t", F.col("first.*"))
     if removed is not None:
         kept = kept.join(removed, "t", "left_anti")
