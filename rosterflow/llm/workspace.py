@@ -28,6 +28,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
@@ -48,7 +49,20 @@ class Workspace:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows that a Python worker gets at once; texts are long, so fewer than Spark's default.
+ROWS_AT_ONCE = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds at once, unless the session bounds it closer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= ROWS_AT_ONCE:
+        spark.conf.set(name, ROWS_AT_ONCE)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
