@@ -155,6 +155,28 @@ def sample_triples(docs: DataFrame, vocabulary: dict[bytes, int], rows: int = 40
     return np.array([(a, b, c) for s in seen for a, b, c in zip(s, s[1:], s[2:])], np.int64).reshape(-1, 3).T
 
 
+def frequent_words(counts: DataFrame) -> tuple[list[bytes], list[bytes], np.ndarray]:
+    """(words with a class of their own, words that travel, their counts).
+
+    The least count that travels comes from a histogram of logarithms of
+    counts, so no task sorts the vocabulary.
+    """
+    short = counts.where((F.octet_length("word") <= FREQUENT_BYTES) & (F.col("word") != F.lit(END)))
+    own = [bytes(r["word"]) for r in short.orderBy(F.desc("c"), "word").limit(CLASSES - SHARED - 1).collect()]
+    level = F.floor(F.log2("c") * 16)
+    room, least = FREQUENT - len(own) - 1, None
+    for r in sorted(short.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    travels = F.col("word").isin([END, *own])
+    if least is not None:
+        travels = travels | (level >= least)
+    found = counts.where((F.octet_length("word") <= FREQUENT_BYTES) & travels).toArrow()
+    return own, found["word"].to_pylist(), found["c"].to_numpy()
+
+
 def score(docs: DataFrame, train_on=None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs``.
 
@@ -166,9 +188,7 @@ def score(docs: DataFrame, train_on=None) -> DataFrame:
     training = docs.where(~out if train_on is None else train_on)
     counts = work.settle(word_counts(training))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.col("word") != F.lit(END), F.desc("c"), "word").limit(FREQUENT).toArrow()
-    words, numbers = frequent["word"].to_pylist(), frequent["c"].to_numpy()
-    own = [w for w in words if w != END][: CLASSES - SHARED - 1]
+    own, words, numbers = frequent_words(counts)
     vocabulary = {END: SHARED} | {w: SHARED + 1 + i for i, w in enumerate(own)}
     shared_vocabulary = spark.sparkContext.broadcast(vocabulary)
     tables = mixed(*train(class_pairs(training, shared_vocabulary)), sample_triples(training, vocabulary))
