@@ -127,7 +127,7 @@ SEGMENT, SEGMENTS, WEAK, FLIPS = 21, 6, 6, 2
 #: Of the 126 bits, how many may differ; two texts at SIMILAR differ in 19 on average.
 FAR, SIMILAR = 36, 0.8
 #: Entries of an index key whose members are compared with its leaders instead of each other.
-HOT, LEADERS = 32, 2
+HOT, LEADERS = 2, 1
 
 
 def margins(hashes: np.ndarray) -> np.ndarray:
@@ -248,14 +248,18 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR)
             stays = who.groupBy("component").agg(F.min_by("node", "first").alias("stays"))
             gone = labels.join(stays, "component").where("node <> stays").select(F.col("node").alias("t"))
             removed = work.settle(gone if removed is None else removed.unionAll(gone))
+        work.drop(labels)
         if not some:
             break
         # only hot keys still hold texts that were not compared
         final = not moved
+        old = entries, probes, hot
         entries, probes = entries.join(hot, "key", "left_semi"), probes.join(hot, "key", "left_semi")
         if removed is not None:
             entries, probes = entries.join(removed, "t", "left_anti"), probes.join(removed, "t", "left_anti")
         entries, probes = work.settle(entries), work.settle(probes)
+        work.drop(*old)
+    work.drop(index)
     kept = firsts.select("t", F.col("first.*"))
     if removed is not None:
         kept = kept.join(removed, "t", "left_anti")
