@@ -317,7 +317,10 @@ def repeats(work: Workspace, rows: DataFrame, length: int, keep: str) -> DataFra
     removed = parts[0]
     for part in parts[1:]:
         removed = removed.unionByName(part)
-    return removed.groupBy("n", "d", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans_ = work.settle(removed.groupBy("n", "d", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    # the spans are all that is read from here on
+    work.drop(twice, placed, groups, wide)
+    return spans_
 
 
 def _by_hashes(work: Workspace, around: DataFrame, length: int, keep: str) -> list[DataFrame]:

@@ -31,21 +31,22 @@ class Workspace:
         small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[str, DataFrame]] = {}
 
     def settle(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        # holding the frame keeps its id from being given to another
+        self.paths[id(out)] = path, out
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path = self.paths.pop(id(df), None)
-            if path is not None:
+            held = self.paths.pop(id(df), None)
+            if held is not None:
                 jvm = self.spark._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
+                p = jvm.org.apache.hadoop.fs.Path(held[0])
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
