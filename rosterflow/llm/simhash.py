@@ -126,7 +126,7 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
 SEGMENT, SEGMENTS, WEAK, FLIPS = 21, 6, 6, 2
 #: Of the 126 bits, how many may differ; two texts at SIMILAR differ in 19 on average.
 FAR, SIMILAR = 36, 0.8
-#: Entries of an index key whose members are compared with its leaders instead of each other.
+#: Entries of an index key whose members are compared with its leaders before they meet each other.
 HOT, LEADERS = 2, 1
 
 
@@ -195,6 +195,20 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("t", "text").mapInArrow(run, "t bigint, grams array<bigint>")
 
 
+def similar_pairs(work: Workspace, texts: DataFrame, found: DataFrame, width: int, similar: float) -> DataFrame:
+    """(a, b), a < b, of the pairs of texts in ``found`` (t, low, high, y) that share enough shingles."""
+    apart = F.bit_count(F.col("low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("y.high")))
+    pairs = found.where((F.col("t") != F.col("y.t")) & (apart <= FAR)).select(F.least("t", "y.t").alias("a"), F.greatest("t", "y.t").alias("b")).distinct()
+    pairs = work.settle(pairs)
+    asked = pairs.select(F.col("a").alias("t")).unionAll(pairs.select(F.col("b").alias("t"))).distinct()
+    sets = work.settle(shingle_sets(texts.join(asked, "t").dropDuplicates(["t"]), width))
+    left, right = sets.select(F.col("t").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("t").alias("b"), F.col("grams").alias("gb"))
+    both = F.size(F.array_intersect("ga", "gb"))
+    linked = work.settle(pairs.join(left, "a").join(right, "b").where(both >= similar * (F.size("ga") + F.size("gb") - both)).select("a", "b"))
+    work.drop(pairs, sets)
+    return linked
+
+
 def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR) -> DataFrame:
     """``docs`` without near copies: of texts linked by a Jaccard similarity of word shingles of ``similar`` or more, one row stays.
 
@@ -205,10 +219,10 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR)
     distance and then by the shingles themselves. Of every linked group the
     text that is first by row stays, and the rest goes.
 
-    Members of a key that very many texts share are compared with a few
-    leaders, and what is left under such keys is compared anew, until no such
-    key is left or leaders link nothing more; then its members are compared
-    with each other.
+    Members of a key that more than HOT texts share are compared with a leader
+    first, and then with all members that are not in their group by then, so
+    groups are those of all links whatever the size of a key. Texts only go
+    when all groups are known.
     A text without words (null counts as empty) only has equal ones. All
     columns are kept. An empty table gives an empty result.
     """
@@ -221,49 +235,32 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR)
     index = work.settle(shingle_index(texts, width).dropDuplicates(["t"]))
     entries = index.select("t", "low", "high", F.explode("own").alias("key"))
     probes = index.select("t", "low", "high", F.explode("probes").alias("key"))
-    removed, final = None, False
-    while True:
-        there = F.struct("t", "low", "high").alias("y")
-        hot = work.settle(entries.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("key"))
-        some = not final and bool(hot.limit(1).count())
-        cold = entries.join(hot, "key", "left_anti") if some else entries
-        found = probes.join(cold.select("key", there), "key").select("t", "low", "high", "y")
-        if some:
-            order = [F.min_by(there, F.xxhash64("t", F.lit(k))) for k in range(LEADERS)]
-            leaders = entries.join(hot, "key").groupBy("key").agg(F.array_distinct(F.array(*order)).alias("leaders"))
-            found = found.unionAll(probes.join(leaders, "key").select("t", "low", "high", F.explode("leaders").alias("y")))
-        apart = F.bit_count(F.col("low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("y.high")))
-        pairs = found.where((F.col("t") != F.col("y.t")) & (apart <= FAR)).select(F.least("t", "y.t").alias("a"), F.greatest("t", "y.t").alias("b")).distinct()
-        pairs = work.settle(pairs)
-        asked = pairs.select(F.col("a").alias("t")).unionAll(pairs.select(F.col("b").alias("t"))).distinct()
-        sets = work.settle(shingle_sets(texts.join(asked, "t").dropDuplicates(["t"]), width))
-        left, right = sets.select(F.col("t").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("t").alias("b"), F.col("grams").alias("gb"))
-        both = F.size(F.array_intersect("ga", "gb"))
-        linked = pairs.join(left, "a").join(right, "b").where(both >= similar * (F.size("ga") + F.size("gb") - both)).select("a", "b")
-        labels = work.settle(connected(work, linked))
-        work.drop(pairs, sets)
-        moved = bool(labels.limit(1).count())
-        if moved:
-            who = labels.join(firsts, labels["node"] == firsts["t"])
-            stays = who.groupBy("component").agg(F.min_by("node", "first").alias("stays"))
-            gone = labels.join(stays, "component").where("node <> stays").select(F.col("node").alias("t"))
-            removed = work.settle(gone if removed is None else removed.unionAll(gone))
-        work.drop(labels)
-        if not some:
-            break
-        # only hot keys still hold texts that were not compared
-        final = not moved
-        old = entries, probes, hot
-        entries, probes = entries.join(hot, "key", "left_semi"), probes.join(hot, "key", "left_semi")
-        if removed is not None:
-            entries, probes = entries.join(removed, "t", "left_anti"), probes.join(removed, "t", "left_anti")
-        entries, probes = work.settle(entries), work.settle(probes)
-        work.drop(*old)
+    there = F.struct("t", "low", "high").alias("y")
+    columns = "t", "low", "high", "y"
+    hot = work.settle(entries.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("key"))
+    some = bool(hot.limit(1).count())
+    cold = entries.join(hot, "key", "left_anti") if some else entries
+    found = probes.join(cold.select("key", there), "key").select(*columns)
+    if some:
+        order = [F.min_by(there, F.xxhash64("t", F.lit(k))) for k in range(LEADERS)]
+        leaders = entries.join(hot, "key").groupBy("key").agg(F.array_distinct(F.array(*order)).alias("leaders"))
+        found = found.unionAll(probes.join(leaders, "key").select("t", "low", "high", F.explode("leaders").alias("y")))
+    labels = work.settle(connected(work, similar_pairs(work, texts, found, width, similar)))
+    if some:
+        # no text is gone yet: all pairs under hot keys that are not in one group so far are compared
+        group = labels.select(F.col("node").alias("t"), "component")
+        grouped = [df.join(hot, "key", "left_semi").join(group, "t", "left").withColumn("group", F.coalesce("component", "t")) for df in (entries, probes)]
+        held, tried = (work.settle(df.select("key", "group", "t", "low", "high")) for df in grouped)
+        across = tried.join(held.select("key", F.col("group").alias("other"), there), "key").where("group <> other").select(*columns)
+        more = similar_pairs(work, texts, across, width, similar)
+        labels = work.settle(connected(work, more.unionAll(labels.select("node", "component"))))
+        work.drop(held, tried)
+    work.drop(hot)
+    who = labels.join(firsts, labels["node"] == firsts["t"])
+    stays = who.groupBy("component").agg(F.min_by("node", "first").alias("stays"))
+    removed = labels.join(stays, "component").where("node <> stays").select(F.col("node").alias("t"))
     work.drop(index)
-    kept = firsts.select("t", F.col("first.*"))
-    if removed is not None:
-        kept = kept.join(removed, "t", "left_anti")
-    kept = kept.withColumnRenamed("t", "__t")
+    kept = firsts.select("t", F.col("first.*")).join(removed, "t", "left_anti").withColumnRenamed("t", "__t")
     out = keyed.join(kept, ["__n", "__d", "__t"]).dropDuplicates(["__n", "__d", "__t"])
     return out.select(*names)
 

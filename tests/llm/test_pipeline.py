@@ -62,6 +62,25 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, hot):
     assert len(got - want) <= 0.02 * len(rows)
 
 
+def star(seed, copies=300, words=400, changed=7):
+    """A base behind its copies, which are like the base but rarely like each other."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, texts = [word() for _ in range(words)], []
+    for _ in range(copies):
+        places = set(rng.sample(range(words), changed))
+        texts.append([word() if i in places else w for i, w in enumerate(base)])
+    return [(i, " ".join(t)) for i, t in enumerate([*texts, base])]
+
+
+def test_copies_linked_through_their_base_alone_are_one_group(spark):
+    rows = star(5)
+    assert plain_survivors(rows) == [0]
+    got = [r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    # what is left is what the index itself misses
+    assert 0 in got and len(got) <= 0.05 * len(rows)
+
+
 def test_stages_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(5, 1, 1), (7, 0, 0)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(1, "Three FOUR\nfive six")], "item_id long, text string")
