@@ -14,8 +14,8 @@ fingerprint. Repeated rows each get their own result row. Extra columns are
 ignored. An empty table gives an empty result.
 """
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -123,65 +123,56 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
 
 # Near copies by shingle similarity.
 
-SEGMENT, SEGMENTS, WEAK, FLIPS = 21, 6, 6, 2
-#: Of the 126 bits, how many may differ; two texts at SIMILAR differ in 19 on average.
-FAR, SIMILAR = 36, 0.8
-#: Entries of an index key whose members are compared with its leaders before they meet each other.
-HOT, LEADERS = 2, 1
+SIMILAR = 0.8
+#: Texts under a shared shingle that are compared with its least text before they meet each other.
+HOT = 2
+#: Texts that are sampled for common shingles, the count there that makes one common, and how many are told to workers.
+SAMPLED, COMMON, TOLD = 10_000, 4, 100_000
 
 
-def margins(hashes: np.ndarray) -> np.ndarray:
-    """For each of 126 bits, in how many more hashes than not it is set."""
-    with np.errstate(over="ignore"):
-        more = hashes * np.uint64(0x9E3779B97F4A7C15)
-    more ^= more >> np.uint64(29)
-    ones = np.zeros(128, np.int64)
-    for i in range(0, len(hashes), 4096):
-        both = np.stack([hashes[i : i + 4096], more[i : i + 4096]], 1).view(np.uint8)
-        ones += np.unpackbits(both, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return (2 * ones - len(hashes))[: SEGMENT * SEGMENTS]
-
-
-def _ball() -> list[tuple[int, ...]]:
-    return [c for k in range(FLIPS + 1) for c in combinations(range(WEAK), k)]
+def text_key() -> list[Column]:
+    """Columns n, d, t that name a row: whether its id is null, the id, and the hash of its text."""
+    return [F.col("doc_id").isNull().cast("int").alias("__n"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("__d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__t")]
 
 
-def index_keys(margin: np.ndarray) -> tuple[list[int], list[int]]:
-    """(own key, keys to probe) over all segments: a Hamming ball over the segment's least certain bits."""
-    bits = (margin > 0).reshape(SEGMENTS, SEGMENT)
-    values = (bits << np.arange(SEGMENT)).sum(1) | np.arange(SEGMENTS) << SEGMENT
-    weak = np.argsort(np.abs(margin.reshape(SEGMENTS, SEGMENT)), axis=1, kind="stable")[:, :WEAK]
-    flips = np.array([[sum(1 << int(w[i]) for i in c) for c in _ball()] for w in weak])
-    return values.tolist(), (values[:, None] ^ flips).ravel().tolist()
+def common_shingles(texts: DataFrame, distinct: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of shingles that many of about SAMPLED texts have; any answer gives the same links."""
+    span = 1 << 20
+    some = texts.where(F.pmod("t", F.lit(span)) < math.ceil(span * min(1.0, SAMPLED / max(distinct, 1))))
+    seen = shingle_sets(some, width).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("c"))
+    found = seen.where(F.col("c") >= COMMON).orderBy(F.desc("c"), "gram").limit(TOLD).toArrow()
+    hashes, counts = found["gram"].to_numpy(), found["c"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
 
 
-def text_key() -> list[Column]:
-    """Columns n, d, t that name a row: whether its id is null, the id, and the hash of its text."""
-    return [F.col("doc_id").isNull().cast("int").alias("__n"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("__d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__t")]
+def prefix(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], similar: float) -> np.ndarray:
+    """The first shingles, rare ones first, of which two texts at ``similar`` or more have one in common."""
+    hashes, counts = common
+    heat = np.zeros(len(grams), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
+        heat = np.where(hashes[at] == grams, counts[at], 0)
+    return grams[np.lexsort((grams, heat))][: len(grams) - math.ceil(similar * len(grams) - 1e-9) + 1]
 
 
-def shingle_index(texts: DataFrame, width: int) -> DataFrame:
-    """t, low, high (126 bits), own and probes (index keys) of each row of ``texts`` (t, text) that has a word."""
+def prefix_index(texts: DataFrame, width: int, similar: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """t, n (distinct shingles) and first (their prefix) of each row of ``texts`` (t, text) that has a word."""
+    told = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, low, high, own, probes = [], [], [], [], []
+            kept, size, first = [], [], []
             for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-                hashes = shingle_hashes(text or b"", width)
-                if not len(hashes):
-                    continue
-                margin = margins(hashes)
-                packed = np.packbits(np.concatenate([margin > 0, [False, False]]), bitorder="little").view(np.int64)
-                mine, tried = index_keys(margin)
-                kept.append(i)
-                low.append(int(packed[0]))
-                high.append(int(packed[1]))
-                own.append(mine)
-                probes.append(tried)
-            keys = [pa.array(v, pa.list_(pa.int32())) for v in (own, probes)]
-            yield pa.RecordBatch.from_arrays([batch.column("t").take(pa.array(kept, pa.int32())), pa.array(low, pa.int64()), pa.array(high, pa.int64()), *keys], ["t", "low", "high", "own", "probes"])
-
-    return texts.select("t", "text").mapInArrow(run, "t bigint, low bigint, high bigint, own array<int>, probes array<int>")
+                grams = np.unique(shingle_hashes(text or b"", width).view(np.int64))
+                if len(grams):
+                    kept.append(i)
+                    size.append(len(grams))
+                    first.append(prefix(grams, told.value, similar))
+            arrays = [batch.column("t").take(pa.array(kept, pa.int32())), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["t", "n", "first"])
+
+    return texts.select("t", "text").mapInArrow(run, "t bigint, n int, first array<bigint>")
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -196,10 +187,8 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def similar_pairs(work: Workspace, texts: DataFrame, found: DataFrame, width: int, similar: float) -> DataFrame:
-    """(a, b), a < b, of the pairs of texts in ``found`` (t, low, high, y) that share enough shingles."""
-    apart = F.bit_count(F.col("low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("y.high")))
-    pairs = found.where((F.col("t") != F.col("y.t")) & (apart <= FAR)).select(F.least("t", "y.t").alias("a"), F.greatest("t", "y.t").alias("b")).distinct()
-    pairs = work.settle(pairs)
+    """(a, b), a < b, of the pairs of texts in ``found`` (t, u) that share enough shingles."""
+    pairs = work.settle(found.select(F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b")).distinct())
     asked = pairs.select(F.col("a").alias("t")).unionAll(pairs.select(F.col("b").alias("t"))).distinct()
     sets = work.settle(shingle_sets(texts.join(asked, "t").dropDuplicates(["t"]), width))
     left, right = sets.select(F.col("t").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("t").alias("b"), F.col("grams").alias("gb"))
@@ -213,14 +202,16 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR)
     """``docs`` without near copies: of texts linked by a Jaccard similarity of word shingles of ``similar`` or more, one row stays.
 
     Equal texts collapse first; the row with the smallest id stays (null last)
-    and stands for them. Fingerprints of 126 bits lie in a table by each of
-    their six segments, and probe each segment with all flips of up to two of
-    its six least certain bits. Fetched matches are verified by their complete
-    distance and then by the shingles themselves. Of every linked group the
-    text that is first by row stays, and the rest goes.
-
-    Members of a key that more than HOT texts share are compared with a leader
-    first, and then with all members that are not in their group by then, so
+    and stands for them. Links are found exactly, by a prefix filter: texts at
+    ``similar`` have one of their first n - ceil(similar x n) + 1 shingles in
+    common, in any order that is the same for all texts. Rare shingles come
+    first in it, so what many texts share is seldom looked up. Pairs that the
+    sizes and places of the shared shingle allow are verified by all their
+    shingles. Of every linked group the text that is first by row stays, and
+    the rest goes.
+
+    Texts under a key that more than HOT of them share are compared with one
+    of them first, and then with all that are not in their group by then, so
     groups are those of all links whatever the size of a key. Texts only go
     when all groups are known.
     A text without words (null counts as empty) only has equal ones. All
@@ -232,34 +223,33 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR)
     firsts = work.settle(keyed.groupBy("__t").agg(F.min(F.struct("__n", "__d")).alias("first")).withColumnRenamed("__t", "t"))
     # rows that stand for their text; rows repeated as a whole are equal
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), *text_key()).withColumnRenamed("__t", "t")
-    index = work.settle(shingle_index(texts, width).dropDuplicates(["t"]))
-    entries = index.select("t", "low", "high", F.explode("own").alias("key"))
-    probes = index.select("t", "low", "high", F.explode("probes").alias("key"))
-    there = F.struct("t", "low", "high").alias("y")
-    columns = "t", "low", "high", "y"
-    hot = work.settle(entries.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("key"))
-    some = bool(hot.limit(1).count())
-    cold = entries.join(hot, "key", "left_anti") if some else entries
-    found = probes.join(cold.select("key", there), "key").select(*columns)
-    if some:
-        order = [F.min_by(there, F.xxhash64("t", F.lit(k))) for k in range(LEADERS)]
-        leaders = entries.join(hot, "key").groupBy("key").agg(F.array_distinct(F.array(*order)).alias("leaders"))
-        found = found.unionAll(probes.join(leaders, "key").select("t", "low", "high", F.explode("leaders").alias("y")))
+    common = common_shingles(texts.dropDuplicates(["t"]), firsts.count(), width)
+    index = work.settle(prefix_index(texts, width, similar, common).dropDuplicates(["t"]))
+    entries = index.select("t", "n", F.posexplode("first").alias("i", "key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("t").alias("least")).where("c > 1")
+    hits = work.settle(entries.join(shared, "key"))
+    work.drop(index)
+    # of a linked pair, the first shingle in common leaves enough behind it on both sides
+    fits = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= similar / (1 + similar) * (F.col("n") + F.col("m")) - 1e-9
+    met = hits.where((F.col("c") <= HOT) | (F.col("t") == F.col("least"))).select("key", F.col("t").alias("u"), F.col("n").alias("m"), F.col("i").alias("j"))
+    found = hits.join(met, "key").where((F.col("t") != F.col("u")) & fits)
     labels = work.settle(connected(work, similar_pairs(work, texts, found, width, similar)))
-    if some:
-        # no text is gone yet: all pairs under hot keys that are not in one group so far are compared
-        group = labels.select(F.col("node").alias("t"), "component")
-        grouped = [df.join(hot, "key", "left_semi").join(group, "t", "left").withColumn("group", F.coalesce("component", "t")) for df in (entries, probes)]
-        held, tried = (work.settle(df.select("key", "group", "t", "low", "high")) for df in grouped)
-        across = tried.join(held.select("key", F.col("group").alias("other"), there), "key").where("group <> other").select(*columns)
+    # then all pairs under hot keys that are not in one group so far; texts of a key's largest group do not meet each other
+    group = labels.select(F.col("node").alias("t"), "component")
+    hot = hits.where(F.col("c") > HOT).join(group, "t", "left").select("key", "t", "n", "i", F.coalesce("component", "t").alias("group"))
+    hot = work.settle(hot)
+    groups = hot.groupBy("key", "group").agg(F.count("*").alias("c"))
+    several = groups.groupBy("key").agg(F.max_by("group", F.struct("c", "group")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+    apart = work.settle(hot.join(several.select("key", "main"), "key"))
+    if apart.limit(1).count():
+        met = apart.where("group <> main").select("key", F.col("group").alias("other"), F.col("t").alias("u"), F.col("n").alias("m"), F.col("i").alias("j"))
+        across = apart.join(met, "key").where((F.col("group") != F.col("other")) & ((F.col("group") == F.col("main")) | (F.col("t") < F.col("u"))) & fits)
         more = similar_pairs(work, texts, across, width, similar)
         labels = work.settle(connected(work, more.unionAll(labels.select("node", "component"))))
-        work.drop(held, tried)
-    work.drop(hot)
+    work.drop(hits, hot, apart)
     who = labels.join(firsts, labels["node"] == firsts["t"])
     stays = who.groupBy("component").agg(F.min_by("node", "first").alias("stays"))
     removed = labels.join(stays, "component").where("node <> stays").select(F.col("node").alias("t"))
-    work.drop(index)
     kept = firsts.select("t", F.col("first.*")).join(removed, "t", "left_anti").withColumnRenamed("t", "__t")
     out = keyed.join(kept, ["__n", "__d", "__t"]).dropDuplicates(["__n", "__d", "__t"])
     return out.select(*names)

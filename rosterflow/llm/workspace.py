@@ -20,11 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return str(sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
+#: Spark's switch for removing a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """Writes intermediate tables to the shared folder and reads them back.
 
     A reread table has no lineage: losing an executor never repeats the work
-    behind it. ``drop`` removes tables that no later result reads.
+    behind it, so the shuffle files behind it go as soon as it is written.
+    ``drop`` removes tables that no later result reads.
     """
 
     def __init__(self, spark: SparkSession):
@@ -35,7 +40,12 @@ class Workspace:
 
     def settle(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         # holding the frame keeps its id from being given to another
         self.paths[id(out)] = path, out

@@ -81,6 +81,13 @@ def test_copies_linked_through_their_base_alone_are_one_group(spark):
     assert 0 in got and len(got) <= 0.05 * len(rows)
 
 
+def test_every_link_at_the_threshold_is_found(spark):
+    rows = star(5)
+    rows += [(1000 + i, t) for i, t in star(6, copies=100, words=100, changed=2)] + [(2000 + i, t) for i, t in star(7, copies=100, words=30, changed=1)]
+    got = sorted(r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == plain_survivors(rows)
+
+
 def test_stages_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(5, 1, 1), (7, 0, 0)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(1, "Three FOUR\nfive six")], "item_id long, text string")
