@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding and bit-sampling LSH over item-sized windows, then exact edit distance.
+"""Benchmark decontamination: item-sized windows where a piece of an item occurs, a filter that loses none, then exact edit distance.
 
 Texts and items are compared as bytes with A-Z lower-cased and white space
 runs as one space. A document leaks an item if some substring of it is within
@@ -7,13 +7,11 @@ floor(``max_edit`` x length) edits of the item.
 Such a substring keeps, by the pigeonhole principle, at least one of d + 1
 disjoint pieces of the item intact, so item-sized windows are laid where a
 piece of the item occurs, with the piece at its own offset; no leak is lost
-here. The CGK random walk (Chakraborty, Goldenberg, Koucky 2016) embeds
-windows and items so that few edits become few differing positions. A window
-is a candidate if it agrees with its item on all sampled positions of at
-least one of the sampled tables; tables and positions are chosen for a recall
-target at a share of agreeing positions. Candidates are verified by a count
-of shared 3-byte runs, which loses none, and Myers' bit-parallel edit
-distance, which also lets a window's ends move.
+here. Every window is verified, by a count of shared 3-byte runs, which loses
+none, and by Myers' bit-parallel edit distance, which also lets a window's
+ends move. No window is dropped by chance: sampled positions of a CGK random
+walk (Chakraborty, Goldenberg, Koucky 2016; ``embed``) agree too seldom at a
+tenth of edits to decide.
 
 Items are a stated query set: they go to the executors in blocks of bounded
 size, and each block scans the documents once, without a shuffle. Null and
@@ -33,9 +31,9 @@ from pyspark.sql import functions as F
 from .quality import spans
 from .workspace import table
 
-MAX_EDIT, RECALL, AGREE, SAMPLED, SEED = 0.1, 0.99, 0.35, 3, 20
-#: Bytes of items in a block, windows that are embedded and bytes of texts that are searched at once.
-BLOCK_BYTES, AT_ONCE, SPAN = 1 << 20, 4096, 1 << 22
+MAX_EDIT, SEED = 0.1, 20
+#: Bytes of items in a block, of windows that are filtered and of texts that are searched at once.
+BLOCK_BYTES, WINDOW_BYTES, SPAN = 1 << 20, 1 << 20, 1 << 22
 BITS, GRAM = 22, 3
 
 
@@ -59,11 +57,6 @@ def gram_keys(buffer: np.ndarray, width: int) -> np.ndarray:
     return (mixed >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def tables_for(recall: float, agree: float, sampled: int) -> int:
-    """Sampled tables so that a window with a share ``agree`` of agreeing positions is found with probability ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - agree**sampled))
-
-
 def walk_bits(steps: int) -> np.ndarray:
     """(steps, 256): whether the walk moves on after it reads a byte at a step."""
     return np.random.default_rng(SEED).integers(0, 2, (steps, 256)).astype(np.int64)
@@ -102,19 +95,18 @@ def least_edits(item: bytes, text: bytes, most: int) -> int:
     return min(best, most + 1)
 
 
-def may_match(grams: list[bytes], text: bytes, most: int) -> bool:
-    """False if ``text`` has too few of the item's runs of GRAM bytes: an edit spoils no more than GRAM of them."""
-    there = {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
-    return sum(map(there.__contains__, grams)) >= len(grams) - GRAM * most
+def gram_codes(text: np.ndarray) -> np.ndarray:
+    """The runs of GRAM bytes of ``text`` as numbers."""
+    wide = text.astype(np.int32)
+    return wide[:-2] + (wide[1:-1] << 8) + (wide[2:] << 16)
 
 
 class Items:
-    """A block of items: pieces to look up, embeddings and sampled positions."""
+    """A block of items and their pieces to look up."""
 
-    def __init__(self, texts: list[bytes], max_edit: float, recall: float, agree: float, sampled: int):
+    def __init__(self, texts: list[bytes], max_edit: float):
         self.texts = texts
         self.most = [math.floor(max_edit * len(t)) for t in texts]
-        self.grams = [[t[i : i + GRAM] for i in range(len(t) - GRAM + 1)] for t in texts]
         self.pieces: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
         for i, (text, most) in enumerate(zip(texts, self.most, strict=True)):
             # an exact item is one piece; pieces of 16 bytes are enough to look up
@@ -131,13 +123,6 @@ class Items:
                 bitmap[gram_keys(np.frombuffer(piece + bytes(8), np.uint8), width)] = True
             self.bitmaps[width] = bitmap
         self.lengths = np.array([len(t) for t in texts], np.int64)
-        self.bits = walk_bits(3 * int(self.lengths.max(initial=1)))
-        joined = np.frombuffer(b"".join(texts) + b"\0", np.uint8)
-        starts = np.cumsum(self.lengths) - self.lengths
-        self.embedded = embed(joined, starts, self.lengths, self.bits)
-        # positions are shares of an item's walk, which reads about two steps a byte
-        shares = np.random.default_rng(SEED + 1).random((tables_for(recall, agree, sampled), sampled))
-        self.positions = [np.minimum((shares * 2 * n).astype(np.int64), len(self.bits) - 1) for n in self.lengths]
 
     def windows(self, joined: bytes, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(items, starts) of each window that has a piece of its item in its place, without repeats."""
@@ -151,17 +136,29 @@ class Items:
         return both[:, 0], both[:, 1]
 
     def candidates(self, buffer: np.ndarray, items: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Which windows agree with their item on all positions of some table."""
-        met = np.zeros(len(items), bool)
-        by_length = np.argsort(self.lengths[items], kind="stable")
-        for i in range(0, len(by_length), AT_ONCE):
-            part = by_length[i : i + AT_ONCE]
-            made = embed(buffer, np.maximum(starts[part], 0), self.lengths[items[part]], self.bits[: 2 * int(self.lengths[items[part]].max())])
-            order = np.argsort(items[part], kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(items[part][order])) + 1):
-                item = items[part[own[0]]]
-                positions = self.positions[item]
-                met[part[own]] = (made[own][:, positions] == self.embedded[item][positions]).all(2).any(1)
+        """Which windows, with room for edits at both ends, have enough of their item's runs of GRAM bytes; loses no leak."""
+        met = np.ones(len(items), bool)
+        order = np.argsort(items, kind="stable")
+        place = np.zeros(1 << 8 * GRAM, np.int32)
+        for own in np.split(order, np.flatnonzero(np.diff(items[order])) + 1) if len(items) else []:
+            item = int(items[own[0]])
+            n, most = len(self.texts[item]), self.most[item]
+            # an edit spoils no more than GRAM runs
+            least = n - GRAM + 1 - GRAM * most
+            if least <= 0:
+                continue
+            codes, weights = np.unique(gram_codes(np.frombuffer(self.texts[item], np.uint8)), return_counts=True)
+            place[codes] = np.arange(1, len(codes) + 1)
+            span = np.arange(n + 2 * most - GRAM + 1)
+            step = max(1, WINDOW_BYTES // len(span))
+            for k in range(0, len(own), step):
+                part = own[k : k + step]
+                at = np.clip(starts[part, None] - most + span, 0, len(buffer) - GRAM)
+                there = place[buffer[at] + (buffer[at + 1].astype(np.int32) << 8) + (buffer[at + 2].astype(np.int32) << 16)]
+                seen = np.zeros((len(part), len(codes) + 1), bool)
+                seen[np.arange(len(part))[:, None], there] = True
+                met[part] = seen[:, 1:] @ weights >= least
+            place[codes] = 0
         return met
 
     def leaks(self, texts: list[bytes]) -> list[tuple[int, int, int]]:
@@ -183,7 +180,7 @@ class Items:
                 text = joined[max(begin, start - most) : max(0, min(begin + int(sizes[row]), start + n + most))]
                 if len(text) < n - most or best.get((row, item)) == 0:
                     continue
-                edits = least_edits(self.texts[item], text, most) if may_match(self.grams[item], text, most) else most + 1
+                edits = least_edits(self.texts[item], text, most)
                 if edits <= most:
                     best[row, item] = min(edits, best.get((row, item), edits))
         return [(row, item, edits) for (row, item), edits in sorted(best.items())]
@@ -203,7 +200,7 @@ def item_blocks(items: DataFrame) -> list[list[tuple]]:
     return blocks
 
 
-def leaks(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT, recall: float = RECALL, agree: float = AGREE, sampled: int = SAMPLED, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of each row with the item_id that it leaks and the least edits (distance)."""
     narrow = docs.select(*keep, F.col("text").alias("__text"))
     id_kind = items.schema["item_id"].dataType
@@ -215,7 +212,7 @@ def leaks(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT, recall:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = [i for i, _ in shared.value]
-            own = Items([t for _, t in shared.value], max_edit, recall, agree, sampled)
+            own = Items([t for _, t in shared.value], max_edit)
             for batch in batches:
                 row, item, distance = [], [], []
                 texts, done = [plain(t or b"") for t in batch.column("__text").cast(pa.binary()).to_pylist()], 0
@@ -233,14 +230,14 @@ def leaks(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT, recall:
     return reduce(DataFrame.unionAll, [scan(b) for b in item_blocks(items)])
 
 
-def clean(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT, recall: float = RECALL, agree: float = AGREE, sampled: int = SAMPLED) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT) -> DataFrame:
     """The rows of ``docs`` that leak no item, with all their columns."""
 
     def without(df: DataFrame, block: list[tuple]) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast([t for _, t in block])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = Items(shared.value, max_edit, recall, agree, sampled)
+            own = Items(shared.value, max_edit)
             for batch in batches:
                 texts, done, leaked = [plain(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()], 0, set()
                 for part in spans(texts, SPAN):

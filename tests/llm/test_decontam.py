@@ -61,6 +61,17 @@ def test_recall_of_edited_leaks(spark):
     assert all(v <= planted[k] for k, v in got.items())
 
 
+def test_no_leak_within_a_tenth_is_lost():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8)))
+    items = []
+    for n in (150, 400, 800, 1500):
+        items += [decontam.plain(" ".join(word() for _ in range(n // 5)).encode())[:n] for _ in range(25)]
+    texts = [(word() + " " + edited(rng, t.decode(), len(t) // 10) + " " + word()).encode() for t in items]
+    found = {(row, item) for row, item, _ in decontam.Items(items, 0.1).leaks(texts)}
+    assert found == {(i, i) for i in range(len(items))}
+
+
 def test_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "Three FOUR\nfive six"), (2, None), (3, ""), (None, "日本語"), (4, "a row without an id"), (1, "three four five six")], "item_id long, text string")
     got = sorted((str(r.doc_id), str(r.item_id)) for r in decontam.leaks(odd, items).collect())
