@@ -12,7 +12,9 @@ Everything gathered covers all training documents: the count of every word,
 and how often each class follows each class at a distance of one and two. In
 those counts the objective of noise-contrastive estimation (data against
 unigram noise) is a sum over pairs of classes, so its gradient is exact and is
-made of matrix products. Products of all contexts and classes are tabulated
+made of matrix products. The weights of both distances are those with the best
+sum of log scores over all training tokens, which is made of the same counts.
+Products of all contexts and classes are tabulated
 once, and scoring a token is a lookup.
 
 The most frequent words (a constant number of at most 64 bytes each) travel to
@@ -132,29 +134,33 @@ def log_norms(first: np.ndarray, second: np.ndarray, bias: np.ndarray) -> np.nda
     return np.log(np.maximum(products, 1e-300)) + top_1 + top_2.T
 
 
-def mixed(q: np.ndarray, r: np.ndarray, b: np.ndarray, triples: np.ndarray) -> dict[str, np.ndarray]:
-    """Tables of natural log scores, with the weights of both distances that suit ``triples`` (before two, before one, class) best."""
+def contexts(pairs: np.ndarray) -> np.ndarray:
+    """How often a class at a distance of two is followed by one at a distance of one, before a token, from the counts of ``class_pairs``."""
+    # all neighbours but a text's last word and its end, and two ends before each text
+    out = pairs[0].copy()
+    out[:, SHARED] = 0
+    out[SHARED, SHARED] = pairs[0][:, SHARED].sum()
+    return out
+
+
+def mixed(q: np.ndarray, r: np.ndarray, b: np.ndarray, pairs: np.ndarray) -> dict[str, np.ndarray]:
+    """Tables of natural log scores, with the weights of both distances that give all tokens counted in ``pairs`` the best sum."""
     one, two = q[0] @ r.T, q[1] @ r.T
+    some = bool(pairs.size and pairs.sum())
+    if some:
+        # a sum of log scores over tokens needs pairs of classes only
+        before, of_one, of_two, of_bias = contexts(pairs), (pairs[0] * one).sum(), (pairs[1] * two).sum(), pairs[0].sum(0) @ b
     best = None
     for w1 in (0.4, 0.6, 0.8, 1.0):
         for w2 in (0.0, 0.2, 0.4, 0.6, 0.8):
             norms = log_norms(w1 * one, w2 * two, b)
-            t2, t1, t0 = triples
-            fit = np.mean(w1 * one[t1, t0] + w2 * two[t2, t0] + b[t0] - norms[t1, t2]) if len(t0) else -abs(w1 - 0.8) - abs(w2 - 0.4)
+            fit = w1 * of_one + w2 * of_two + of_bias - (before * norms.T).sum() if some else -abs(w1 - 0.8) - abs(w2 - 0.4)
             if best is None or fit > best[0]:
                 best = fit, w1, w2, norms
     _, w1, w2, norms = best
     return {"one": (w1 * one).astype(np.float32), "two": (w2 * two).astype(np.float32), "bias": b.astype(np.float32), "norms": norms.astype(np.float32)}
 
 
-def sample_triples(docs: DataFrame, vocabulary: dict[bytes, int], rows: int = 400, most_bytes: int = 65_536) -> np.ndarray:
-    """Classes in a row from about ``rows`` documents, to weigh the two distances."""
-    n, span, own = max(1, docs.count()), 1 << 20, ClassOf(vocabulary)
-    chosen = docs.where((F.pmod(F.xxhash64("doc_id", F.lit("triples")), F.lit(span)) < int(span * min(1.0, rows / n))) & (F.octet_length("text") <= most_bytes))
-    seen = [[SHARED, SHARED, *(own[w] for w in tokens_of(r["text"].encode())), SHARED] for r in chosen.select("text").collect()]
-    return np.array([(a, b, c) for s in seen for a, b, c in zip(s, s[1:], s[2:])], np.int64).reshape(-1, 3).T
-
-
 def frequent_words(counts: DataFrame) -> tuple[list[bytes], list[bytes], np.ndarray]:
     """(words with a class of their own, words that travel, their counts).
 
@@ -191,7 +197,8 @@ def score(docs: DataFrame, train_on=None) -> DataFrame:
     own, words, numbers = frequent_words(counts)
     vocabulary = {END: SHARED} | {w: SHARED + 1 + i for i, w in enumerate(own)}
     shared_vocabulary = spark.sparkContext.broadcast(vocabulary)
-    tables = mixed(*train(class_pairs(training, shared_vocabulary)), sample_triples(training, vocabulary))
+    pairs = class_pairs(training, shared_vocabulary)
+    tables = mixed(*train(pairs), pairs)
     tail = F.when(F.octet_length("word") <= 2, F.col("word")).otherwise(F.substring("word", F.octet_length("word") - 1, F.lit(2)))
     masses = counts.groupBy((F.crc32(tail) % SHARED).alias("k")).agg(F.sum(F.col("c") + 1).alias("mass")).collect()
     mass = np.ones(CLASSES)

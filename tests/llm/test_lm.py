@@ -55,6 +55,27 @@ def test_training_finds_what_follows():
     assert np.mean([s[k].argmax() == k + 1 for k in range(0, 100, 2)]) > 0.9
 
 
+def test_weights_suit_all_training_texts(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = {lm.END: lm.SHARED} | {f"w{i}".encode(): lm.SHARED + 1 + i for i in range(20)}
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 20, n)) for n in rng.integers(0, 30, 60)] + [" ".join(f"w{i % 20}" for i in range(20_000)), ""]
+    pairs = lm.class_pairs(spark.createDataFrame([(t,) for t in texts], "text string"), spark.sparkContext.broadcast(vocabulary))
+    q, r, b = lm.train(pairs, steps=30)
+    lines = [[lm.SHARED, lm.SHARED, *(vocabulary[w] for w in t.encode().split()), lm.SHARED] for t in texts]
+    t2, t1, t0 = np.array([x for s in lines for x in zip(s, s[1:], s[2:])]).T
+    counted = np.zeros((lm.CLASSES, lm.CLASSES))
+    np.add.at(counted, (t2, t1), 1)
+    assert (lm.contexts(pairs) == counted).all()
+    fits = {}
+    for w1 in (0.4, 0.6, 0.8, 1.0):
+        for w2 in (0.0, 0.2, 0.4, 0.6, 0.8):
+            one, two = w1 * (q[0] @ r.T), w2 * (q[1] @ r.T)
+            fits[w1, w2] = (one[t1, t0] + two[t2, t0] + b[t0] - lm.log_norms(one, two, b)[t1, t2]).sum()
+    w1, w2 = max(fits, key=fits.get)
+    got = lm.mixed(q, r, b, pairs)
+    assert np.allclose(got["one"], w1 * (q[0] @ r.T), atol=1e-4) and np.allclose(got["two"], w2 * (q[1] @ r.T), atol=1e-4)
+
+
 def test_odd_rows(odd, none):
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
     got = lm.score(odd).collect()
