@@ -16,6 +16,7 @@ ignored. An empty table gives an empty result.
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .workspace import Workspace
+from .workspace import Workspace, apart
 
 RADIUS = 2
 
@@ -126,8 +127,14 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
 SIMILAR = 0.8
 #: Texts under a shared shingle that are compared with its least text before they meet each other.
 HOT = 2
+#: How often texts outside a key's largest group meet some of its members, and how many, before they meet all.
+TURNS, LEADERS = 1, 8
 #: Texts that are sampled for common shingles, the count there that makes one common, and how many are told to workers.
 SAMPLED, COMMON, TOLD = 10_000, 4, 100_000
+#: Shares of the shingles that are looked up one after the other: only one of them is shuffled at a time.
+SLICES = 4
+#: Longs of a text's sketch.
+SKETCH = 16
 
 
 def text_key() -> list[Column]:
@@ -156,23 +163,36 @@ def prefix(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], similar: fl
     return grams[np.lexsort((grams, heat))][: len(grams) - math.ceil(similar * len(grams) - 1e-9) + 1]
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """For each of 64 x SKETCH bits, whether an odd number of shingles falls on it: sets that differ in k shingles differ in at most k bits."""
+    bits = np.bincount((grams.view(np.uint64) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(bool), bitorder="little").view(np.int64)
+
+
+def apart_by(a: str, b: str) -> Column:
+    """In how many bits two sketches differ."""
+    differ = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(differ, F.lit(0), lambda x, y: x + y)
+
+
 def prefix_index(texts: DataFrame, width: int, similar: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """t, n (distinct shingles) and first (their prefix) of each row of ``texts`` (t, text) that has a word."""
+    """t, n (distinct shingles), first (their prefix) and sketch of each row of ``texts`` (t, text) that has a word."""
     told = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, size, first = [], [], []
+            kept, size, first, sketches = [], [], [], []
             for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 grams = np.unique(shingle_hashes(text or b"", width).view(np.int64))
                 if len(grams):
                     kept.append(i)
                     size.append(len(grams))
                     first.append(prefix(grams, told.value, similar))
-            arrays = [batch.column("t").take(pa.array(kept, pa.int32())), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["t", "n", "first"])
+                    sketches.append(sketch(grams))
+            arrays = [batch.column("t").take(pa.array(kept, pa.int32())), pa.array(size, pa.int32()), *(pa.array(v, pa.list_(pa.int64())) for v in (first, sketches))]
+            yield pa.RecordBatch.from_arrays(arrays, ["t", "n", "first", "sketch"])
 
-    return texts.select("t", "text").mapInArrow(run, "t bigint, n int, first array<bigint>")
+    return texts.select("t", "text").mapInArrow(run, "t bigint, n int, first array<bigint>, sketch array<bigint>")
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -186,18 +206,46 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("t", "text").mapInArrow(run, "t bigint, grams array<bigint>")
 
 
-def similar_pairs(work: Workspace, texts: DataFrame, found: DataFrame, width: int, similar: float) -> DataFrame:
-    """(a, b), a < b, of the pairs of texts in ``found`` (t, u) that share enough shingles."""
+def similar_pairs(work: Workspace, texts: DataFrame, sketches: DataFrame, found: DataFrame, width: int, similar: float) -> DataFrame:
+    """(a, b), a < b, of the pairs of texts in ``found`` (t, u) that share enough shingles.
+
+    ``sketches`` (t, n, sketch) rule out most others before any shingles are
+    fetched; they never rule out a similar pair.
+    """
     pairs = work.settle(found.select(F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b")).distinct())
-    asked = pairs.select(F.col("a").alias("t")).unionAll(pairs.select(F.col("b").alias("t"))).distinct()
+    one, other = (sketches.select(F.col("t").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in ("a", "b"))
+    close = work.settle(pairs.join(one, "a").join(other, "b").where(apart_by("sa", "sb") <= unlike(similar, "na", "nb")).select("a", "b"))
+    asked = close.select(F.col("a").alias("t")).unionAll(close.select(F.col("b").alias("t"))).distinct()
     sets = work.settle(shingle_sets(texts.join(asked, "t").dropDuplicates(["t"]), width))
     left, right = sets.select(F.col("t").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("t").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
-    linked = work.settle(pairs.join(left, "a").join(right, "b").where(both >= similar * (F.size("ga") + F.size("gb") - both)).select("a", "b"))
-    work.drop(pairs, sets)
+    linked = work.settle(close.join(left, "a").join(right, "b").where(both >= similar * (F.size("ga") + F.size("gb") - both)).select("a", "b"))
+    work.drop(pairs, close, sets)
     return linked
 
 
+def unlike(similar: float, n: str, m: str) -> Column:
+    """In how many shingles texts with ``n`` and ``m`` of them differ at most, if they are similar."""
+    return (F.col(n) + F.col(m)) * ((1 - similar) / (1 + similar)) + 1e-6
+
+
+def met_outside(split: DataFrame, turn: int) -> DataFrame:
+    """Rows of ``split`` (key, t, n, i, sketch, group, main) outside their key's main group, each with LEADERS texts (u, m, j, other_sketch) of it."""
+    text = ["t", "n", "i", "sketch"]
+    drawn = [F.min(F.struct(F.xxhash64("t", F.lit(turn * LEADERS + k)).alias("draw"), *text)).alias(f"l{k}") for k in range(LEADERS)]
+    leaders = split.where(F.col("group") == F.col("main")).groupBy("key").agg(*drawn)
+    leaders = leaders.select("key", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"l{k}.{c}") for c in text]) for k in range(LEADERS)]))).alias("leader"))
+    leaders = leaders.select("key", F.col("leader.t").alias("u"), F.col("leader.n").alias("m"), F.col("leader.i").alias("j"), F.col("leader.sketch").alias("other_sketch"))
+    return split.where("group <> main").join(leaders, "key")
+
+
+def all_outside(split: DataFrame) -> DataFrame:
+    """Rows of ``split``, each with all texts under its key that are in another group, neither of them the main one or only one."""
+    other = split.where("group <> main").select("key", F.col("group").alias("other"), F.col("t").alias("u"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("sketch").alias("other_sketch"))
+    once = (F.col("group") == F.col("main")) | (F.col("t") < F.col("u"))
+    return split.join(other, "key").where((F.col("group") != F.col("other")) & once)
+
+
 def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR) -> DataFrame:
     """``docs`` without near copies: of texts linked by a Jaccard similarity of word shingles of ``similar`` or more, one row stays.
 
@@ -206,52 +254,62 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR)
     ``similar`` have one of their first n - ceil(similar x n) + 1 shingles in
     common, in any order that is the same for all texts. Rare shingles come
     first in it, so what many texts share is seldom looked up. Pairs that the
-    sizes and places of the shared shingle allow are verified by all their
-    shingles. Of every linked group the text that is first by row stays, and
-    the rest goes.
+    sizes and places of the shared shingle and the sketches of both texts allow
+    are verified by all their shingles. Of every linked group the text that is
+    first by row stays, and the rest goes.
 
     Texts under a key that more than HOT of them share are compared with one
-    of them first, and then with all that are not in their group by then, so
-    groups are those of all links whatever the size of a key. Texts only go
-    when all groups are known.
-    A text without words (null counts as empty) only has equal ones. All
-    columns are kept. An empty table gives an empty result.
+    of them first, those that are not in its largest group by then with some
+    of that group in turns, and those still outside with all, so groups are
+    those of all links whatever the size of a key. Texts only go when all
+    groups are known.
+    A text without words (null counts as empty) only has equal ones; very long
+    texts are compared whole; of rows that are repeated as a whole one stays. All
+    columns are kept, whatever their names. An empty table gives an empty result.
     """
     work = Workspace(docs.sparkSession)
     names = docs.columns
-    keyed = docs.select(*names, *text_key())
-    firsts = work.settle(keyed.groupBy("__t").agg(F.min(F.struct("__n", "__d")).alias("first")).withColumnRenamed("__t", "t"))
-    # rows that stand for their text; rows repeated as a whole are equal
+    own = [apart(f"__{c}", names) for c in ("n", "d", "t")]
+    keyed = docs.select(*names, *[k.alias(c) for k, c in zip(text_key(), own, strict=True)])
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), *text_key()).withColumnRenamed("__t", "t")
+    firsts = work.settle(texts.groupBy("t").agg(F.min(F.struct("__n", "__d")).alias("first")))
     common = common_shingles(texts.dropDuplicates(["t"]), firsts.count(), width)
     index = work.settle(prefix_index(texts, width, similar, common).dropDuplicates(["t"]))
-    entries = index.select("t", "n", F.posexplode("first").alias("i", "key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("t").alias("least")).where("c > 1")
-    hits = work.settle(entries.join(shared, "key"))
+    sketches = work.settle(index.select("t", "n", "sketch"))
+    slices = []
+    for k in range(SLICES):
+        entries = index.select("t", "n", F.posexplode("first").alias("i", "key")).where(F.pmod("key", F.lit(SLICES)) == k)
+        shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("t").alias("least")).where("c > 1")
+        slices.append(work.settle(entries.join(shared, "key")))
     work.drop(index)
+    hits = reduce(DataFrame.unionAll, slices)
     # of a linked pair, the first shingle in common leaves enough behind it on both sides
     fits = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= similar / (1 + similar) * (F.col("n") + F.col("m")) - 1e-9
     met = hits.where((F.col("c") <= HOT) | (F.col("t") == F.col("least"))).select("key", F.col("t").alias("u"), F.col("n").alias("m"), F.col("i").alias("j"))
     found = hits.join(met, "key").where((F.col("t") != F.col("u")) & fits)
-    labels = work.settle(connected(work, similar_pairs(work, texts, found, width, similar)))
-    # then all pairs under hot keys that are not in one group so far; texts of a key's largest group do not meet each other
-    group = labels.select(F.col("node").alias("t"), "component")
-    hot = hits.where(F.col("c") > HOT).join(group, "t", "left").select("key", "t", "n", "i", F.coalesce("component", "t").alias("group"))
-    hot = work.settle(hot)
-    groups = hot.groupBy("key", "group").agg(F.count("*").alias("c"))
-    several = groups.groupBy("key").agg(F.max_by("group", F.struct("c", "group")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
-    apart = work.settle(hot.join(several.select("key", "main"), "key"))
-    if apart.limit(1).count():
-        met = apart.where("group <> main").select("key", F.col("group").alias("other"), F.col("t").alias("u"), F.col("n").alias("m"), F.col("i").alias("j"))
-        across = apart.join(met, "key").where((F.col("group") != F.col("other")) & ((F.col("group") == F.col("main")) | (F.col("t") < F.col("u"))) & fits)
-        more = similar_pairs(work, texts, across, width, similar)
-        labels = work.settle(connected(work, more.unionAll(labels.select("node", "component"))))
-    work.drop(hits, hot, apart)
+    labels = work.settle(connected(work, similar_pairs(work, texts, sketches, found, width, similar)))
+    # texts outside the largest group of a hot key meet some of its members first, which leaves few of a group of copies, and then all
+    hot = work.settle(hits.where(F.col("c") > HOT).select("key", "t", "n", "i").join(sketches.select("t", "sketch"), "t"))
+    for turn in range(TURNS + 1):
+        group = labels.select(F.col("node").alias("t"), "component")
+        grouped = hot.join(group, "t", "left").withColumn("group", F.coalesce("component", "t")).drop("component")
+        groups = grouped.groupBy("key", "group").agg(F.count("*").alias("c"))
+        several = groups.groupBy("key").agg(F.max_by("group", F.struct("c", "group")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+        split = work.settle(grouped.join(several.select("key", "main"), "key"))
+        if not split.limit(1).count():
+            work.drop(split)
+            break
+        across = met_outside(split, turn) if turn < TURNS else all_outside(split)
+        linked = similar_pairs(work, texts, sketches, across.where(fits & (apart_by("sketch", "other_sketch") <= unlike(similar, "n", "m"))), width, similar)
+        joined = work.settle(connected(work, linked.unionAll(labels.select("node", "component"))))
+        work.drop(split, linked, labels)
+        labels = joined
+    work.drop(*slices, hot)
     who = labels.join(firsts, labels["node"] == firsts["t"])
     stays = who.groupBy("component").agg(F.min_by("node", "first").alias("stays"))
     removed = labels.join(stays, "component").where("node <> stays").select(F.col("node").alias("t"))
-    kept = firsts.select("t", F.col("first.*")).join(removed, "t", "left_anti").withColumnRenamed("t", "__t")
-    out = keyed.join(kept, ["__n", "__d", "__t"]).dropDuplicates(["__n", "__d", "__t"])
+    kept = firsts.select(F.col("first.__n").alias(own[0]), F.col("first.__d").alias(own[1]), "t").join(removed, "t", "left_anti").withColumnRenamed("t", own[2])
+    out = keyed.join(kept, own).dropDuplicates(own)
     return out.select(*names)
 
 

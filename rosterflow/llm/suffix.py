@@ -11,9 +11,9 @@ those that occur twice. An anchor's surroundings hold all runs that it can
 anchor; where they are equal as a whole, all their runs repeat and no text has
 to be compared. What remains (surroundings that differ somewhere) is compared
 in buckets of anchors: the texts around them are put in suffix order by prefix
-doubling, equal runs next to each other with ties by position, and the
-previous and next smaller positions in that order give each position's longest
-previous factor; the same test on greater positions gives later matches.
+doubling, and the previous and next smaller positions in that order give each
+position's longest previous factor; the same searches on greater positions give
+later matches. Where a longest factor has ``length`` bytes or more, its bytes go.
 
 An anchor with very many different surroundings (a passage that much of the
 corpus quotes) would make a bucket too large. Its runs are instead compared by
@@ -27,18 +27,17 @@ and as one for keep="first". Extra columns are ignored and an empty table
 gives an empty result.
 """
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality import spans
 from .simhash import text_key
-from .workspace import Workspace, table
+from .workspace import Workspace, apart, table
 
 LENGTH = 200
 #: Surroundings in a bucket that one task compares, and of one anchor; more go by hashes.
@@ -129,69 +128,80 @@ def smaller_neighbours(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before(order), n - 1 - before(order[::-1])[::-1]
 
 
-def suffix_groups(buffer: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, group): ``starts`` in the order of their first ``length`` bytes, ties by position, and the number of each's run.
+class SuffixOrder:
+    """Positions of ``starts`` in suffix order, and the lengths that suffixes have in common.
 
-    Prefix doubling: ranks of 8 bytes, then of twice as many each round, until
-    ``length``; every start has ``length`` bytes behind it in ``buffer``.
+    Prefix doubling: ranks of ``first`` bytes, then of twice as many each
+    round. The ranks of all rounds stay, so the common length of two suffixes
+    is read off by descending through them, and the last bytes off their
+    difference. Lengths are exact up to ``depth`` bytes or more.
     """
-    padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
-    rank = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(buffer)].copy().view(">u8").ravel().astype(np.uint64)
-    if length < 8:
-        rank >>= np.uint64(8 * (8 - length))
-    rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
-    width = min(8, length)
-    while width < length:
-        step = min(width, length - width)
-        at = starts if width + step == length else np.arange(len(buffer) - step)
-        pair = rank[at] * (len(buffer) + 1) + rank[at + step]
-        found = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        if width + step == length:
-            order = np.argsort(found, kind="stable")
-            return starts[order], found[order]
-        # the last positions have too few bytes to start a run of this width
-        rank = np.concatenate([found, np.zeros(step, np.int64)])
-        width += step
-    order = np.argsort(rank[starts], kind="stable")
-    return starts[order], rank[starts][order]
-
-
-def repeated_starts(buffer: np.ndarray, starts: np.ndarray, length: int, keep: str) -> np.ndarray:
-    """The ``starts`` (ascending) whose longest previous factor, or with keep="none" their longest match anywhere, reaches ``length``."""
-    if not len(starts):
-        return starts
-    order, group = suffix_groups(buffer, starts, length)
-    same = np.flatnonzero(np.diff(group) == 0)
-    own = np.union1d(same, same + 1)
-    order, group = order[own], group[own]
-
-    def reaches(values: np.ndarray) -> np.ndarray:
-        met = np.zeros(len(values), bool)
-        for near in smaller_neighbours(values):
-            there = (near >= 0) & (near < len(values))
-            met |= there & (group[np.clip(near, 0, len(values) - 1)] == group)
-        return met
-
-    met = reaches(order)
-    if keep == "none":
-        met |= reaches(-order)
-    return np.sort(order[met])
-
 
-def merged(spans_: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans_):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    def __init__(self, buffer: np.ndarray, depth: int):
+        padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
+        self.size, self.depth = len(buffer), depth
+        self.words = np.lib.stride_tricks.sliding_window_view(padded, 8)[: self.size].copy().view(">u8").ravel().astype(np.uint64)
+        self.widths = [8 if depth >= 8 else 1]
+        ranks = self.words if depth >= 8 else buffer
+        self.ranks = [np.unique(ranks, return_inverse=True)[1].astype(np.int64)]
+        while self.widths[-1] * 2 <= depth:
+            self.ranks.append(np.unique(self.pairs(np.arange(self.size), self.widths[-1]), return_inverse=True)[1].astype(np.int64))
+            self.widths.append(self.widths[-1] * 2)
+
+    def pairs(self, at: np.ndarray, step: int) -> np.ndarray:
+        """A number that orders the suffixes at ``at`` by the widest rank and the one ``step`` bytes on; nothing comes first."""
+        there = at + step
+        behind = np.where(there < self.size, self.ranks[-1][np.minimum(there, self.size - 1)] + 1, 0)
+        return self.ranks[-1][at] * (self.size + 1) + behind
+
+    def order(self, starts: np.ndarray) -> np.ndarray:
+        """``starts`` by their first ``depth`` bytes, equal ones by position."""
+        return starts[np.argsort(self.pairs(starts, self.depth - self.widths[-1]), kind="stable")]
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many bytes the suffixes at ``i`` and ``j`` have in common, not counting beyond the end of the buffer."""
+        i, j, length = i.copy(), j.copy(), np.zeros(len(i), np.int64)
+        last = self.size - 1
+        for width, rank in zip(self.widths[::-1], self.ranks[::-1], strict=True):
+            inside = np.maximum(i, j) + length <= last
+            same = inside & (rank[np.minimum(i + length, last)] == rank[np.minimum(j + length, last)])
+            length += width * same
+        inside = np.maximum(i, j) + length <= last
+        differ = self.words[np.minimum(i + length, last)] ^ self.words[np.minimum(j + length, last)]
+        for k in range(1, 9):
+            length += inside & (differ >> np.uint64(64 - 8 * k) == 0)
+        return np.minimum(length, self.size - np.maximum(i, j))
+
+
+def longest_factors(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, later: bool) -> np.ndarray:
+    """The longest previous factor of each of ``starts`` (ascending): the most bytes that it has in common with an earlier one.
+
+    The earlier suffix with the most in common is the previous or the next
+    smaller position in suffix order. With ``later``, matches at greater
+    positions count too, by the same two searches on greater positions. A
+    match ends where either suffix's text does (``ends``); lengths are exact
+    up to ``depth`` and at least ``depth`` beyond it.
+    """
+    longest = np.zeros(len(starts), np.int64)
+    if len(starts) < 2:
+        return longest
+    suffixes = SuffixOrder(buffer, depth)
+    order = suffixes.order(starts)
+    own = np.searchsorted(starts, order)
+    for values in (order, -order) if later else (order,):
+        for near in smaller_neighbours(values):
+            there = np.flatnonzero((near >= 0) & (near < len(order)))
+            i, j = own[there], own[near[there]]
+            shared = suffixes.common(starts[i], starts[j])
+            shared = np.minimum(shared, np.minimum(ends[i] - starts[i], ends[j] - starts[j]))
+            longest[i] = np.maximum(longest[i], shared)
+    return longest
 
 
 def compare_bucket(docs: list, positions: list[int], befores: list[int], texts: list[bytes], length: int, keep: str) -> list[tuple[int, int, int]]:
     """(index of a row of the same document, start, stop) of repeated bytes among the surroundings; ``docs`` are sortable ids."""
     order = sorted(range(len(docs)), key=lambda i: (docs[i], positions[i] - befores[i]))
-    parts, first, starts, at = [], [], [], 0
+    parts, at = [], 0
     regions: list[tuple[int, int, int]] = []
     last_doc, last_stop = None, 0
     for i in order:
@@ -207,120 +217,133 @@ def compare_bucket(docs: list, positions: list[int], befores: list[int], texts:
         at += len(new)
     buffer = np.frombuffer(b"".join(parts), np.uint8)
     bounds = np.array([r[0] for r in regions] + [at], np.int64)
-    for a, b in zip(bounds, bounds[1:]):
-        first.append(a)
-        starts.append(np.arange(a, max(a, b - length + 1)))
-    met = repeated_starts(buffer, np.concatenate(starts), length, keep)
-    region = np.searchsorted(bounds, met, "right") - 1
+    starts = np.concatenate([np.arange(a, max(a, b - length + 1)) for a, b in zip(bounds, bounds[1:])])
+    region = np.searchsorted(bounds, starts, "right") - 1
+    factors = longest_factors(buffer, starts, bounds[region + 1], length, keep == "none")
+    met = factors >= length
+    starts, region, stops = starts[met], region[met], (starts + factors)[met]
     out = []
-    if len(met):
-        cuts = np.flatnonzero((np.diff(met) > length) | (np.diff(region) != 0)) + 1
-        for run in np.split(np.arange(len(met)), cuts):
-            at, i, begin = regions[region[run[0]]]
-            out.append((i, int(met[run[0]]) - at + begin, int(met[run[-1]]) - at + begin + length))
+    if len(starts):
+        # factors that touch are one run
+        reach = np.maximum.accumulate(stops + region * (at + 1))
+        cuts = np.flatnonzero(starts[1:] + region[1:] * (at + 1) > reach[:-1]) + 1
+        for run in np.split(np.arange(len(starts)), cuts):
+            first, i, begin = regions[region[run[0]]]
+            out.append((i, int(starts[run[0]]) - first + begin, int(stops[run].max()) - first + begin))
     return out
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
-    """doc_id, text and k: (1 if the id is null, id, text hash), which orders rows and names equal ones alike."""
+    """text and (n, d, t): 1 if the id is null, the id, the text's hash, which order rows and name equal ones alike."""
     text = F.coalesce("text", F.lit(""))
-    key = F.struct(F.col("doc_id").isNull().cast("int").alias("n"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("d"), F.xxhash64(text).alias("t"))
-    return docs.select("doc_id", text.alias("text"), key.alias("k"))
+    return docs.select(text.alias("text"), F.col("doc_id").isNull().cast("int").alias("n"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("d"), F.xxhash64(text).alias("t"))
 
 
-def _map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(run, schema)
+ROW = ["n", "d", "t"]
+ROW_KIND = "n int, d bigint, t bigint"
+#: Surroundings that a worker hands on at once.
+HANDED = 8192
 
 
-KEY = "struct<n:int,d:bigint,t:bigint>"
+def binary(batch: pa.RecordBatch, name: str) -> list[bytes]:
+    return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def repeats(work: Workspace, rows: DataFrame, length: int, keep: str) -> DataFrame:
-    """(k, spans): merged byte ranges to remove, for the rows of ``rows`` (text, k) that have any."""
-
-    def binary(batch: pa.RecordBatch, name: str) -> list[bytes]:
-        return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
+def anchored(rows: DataFrame, length: int) -> DataFrame:
+    """(n, d, t), p, h and around (a hash of the surroundings) of each anchor of ``rows`` (text, n, d, t)."""
 
-    def scan(batches: Iterator[pa.RecordBatch], located: bool) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, done = binary(batch, "text"), 0
-            for part in spans(texts, SPAN):
+            done = 0
+            for part in spans(binary(batch, "text"), SPAN):
                 row, position, h = anchors(part, length)
-                around = []
-                for r, p in zip(row.tolist(), position.tolist(), strict=True):
+                around = np.empty(len(row), np.uint64)
+                for i, (r, p) in enumerate(zip(row.tolist(), position.tolist(), strict=True)):
                     before, own = surroundings(part[r], p, length)
-                    around.append(xxhash.xxh3_64_intdigest(own, before))
-                columns = {"h": pa.array(h.view(np.int64)), "around": pa.array(np.array(around, np.uint64).view(np.int64))}
-                if located:
-                    columns |= {"k": batch.column("k").take(pa.array(row + done)), "p": pa.array(position)}
+                    around[i] = xxhash.xxh3_64_intdigest(own, before)
+                ids = [batch.column(c).take(pa.array(row + done)) for c in ROW]
                 done += len(part)
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    seen = _map(rows.select("text"), lambda b: scan(b, False), "h bigint, around bigint")
-    seen = seen.groupBy("h").agg(F.count("*").alias("n"), F.min("around").alias("least"), F.max("around").alias("most"))
-    twice = work.settle(seen.where("n > 1").select("h", (F.col("least") == F.col("most")).alias("alike")))
-    placed = _map(rows.select("text", "k"), lambda b: scan(b, True), f"h bigint, around bigint, k {KEY}, p bigint")
-    placed = work.settle(placed.join(twice, "h").select("h", "around", "alike", F.col("k.n").alias("n"), F.col("k.d").alias("d"), F.col("k.t").alias("t"), F.col("p").cast("int").alias("p")))
-    here = F.struct("n", "d", "t", "p")
-    groups = work.settle(placed.groupBy("h", "around", "alike").agg(F.count("*").alias("m"), F.min(here).alias("first")))
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(position.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(around.view(np.int64))], [*ROW, "p", "h", "around"])
+
+    return rows.select("text", *ROW).mapInArrow(run, f"{ROW_KIND}, p int, h bigint, around bigint")
+
+
+def cut_around(held: DataFrame, length: int) -> DataFrame:
+    """A row for each asked anchor (arrays h, wide, p) of ``held``, with its surroundings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(c) for c in ("h", "wide", "p")]
+            flat = [c.flatten() for c in lists]
+            sizes = np.diff(lists[0].offsets.to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            texts, places = binary(batch, "text"), flat[2].to_numpy()
+            for k in range(0, len(row), HANDED):
+                part, at = row[k : k + HANDED], places[k : k + HANDED]
+                around = [surroundings(texts[r], p, length)[1] for r, p in zip(part.tolist(), at.tolist(), strict=True)]
+                before = np.minimum(at, length - gram_of(length)).astype(np.int32)
+                ids = [batch.column(c).take(pa.array(part)) for c in ROW]
+                yield pa.RecordBatch.from_arrays([*ids, *(c.slice(k, len(part)) for c in flat), pa.array(before), pa.array(around, pa.binary())], [*ROW, "h", "wide", "p", "before", "around"])
+
+    return held.select(*ROW, "h", "wide", "p", "text").mapInArrow(run, f"{ROW_KIND}, h bigint, wide boolean, p int, before int, around binary")
+
+
+def runs_of(spans_: DataFrame) -> DataFrame:
+    """(n, d, t), starts and stops (ascending, apart from each other) of the merged ranges a to b of each row."""
+    ahead = Window.partitionBy(*ROW).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    sofar = Window.partitionBy(*ROW).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opens = spans_.withColumn("opens", F.coalesce(F.col("a") > F.max("b").over(ahead), F.lit(True)).cast("int"))
+    numbered = opens.withColumn("run", F.sum("opens").over(sofar))
+    ranges = numbered.groupBy(*ROW, "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    listed = ranges.groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("ranges"))
+    return listed.select(*ROW, F.col("ranges.a").alias("starts"), F.col("ranges.b").alias("stops"))
+
+
+def repeats(work: Workspace, rows: DataFrame, length: int, keep: str) -> DataFrame:
+    """(n, d, t), starts and stops: merged byte ranges to remove, for the rows of ``rows`` (text, n, d, t) that have any."""
+    placed = work.settle(anchored(rows, length))
+    seen = placed.groupBy("h").agg(F.count("*").alias("c"), F.min("around").alias("least"), F.max("around").alias("most"))
+    twice = work.settle(seen.where("c > 1").select("h", (F.col("least") == F.col("most")).alias("alike")))
+    shared = work.settle(placed.join(twice, "h"))
+    work.drop(placed, twice)
+    here = F.struct(*ROW, "p")
+    groups = work.settle(shared.groupBy("h", "around", "alike").agg(F.count("*").alias("m"), F.min(here).alias("first")))
     # surroundings that occur twice: all their runs repeat
     again = groups.where("m > 1").select("h", "around", F.col("first").alias("first_at"))
-    whole = placed.join(again, ["h", "around"])
+    whole = shared.join(again, ["h", "around"])
     if keep == "first":
         whole = whole.where(here > F.col("first_at"))
     before = F.least(F.col("p"), F.lit(length - gram_of(length)))
-    whole = whole.select("n", "d", "t", (F.col("p") - before).alias("a"), (F.col("p") + length).alias("b"))
+    whole = whole.select(*ROW, (F.col("p") - before).alias("a"), (F.col("p") + length).alias("b"))
     # surroundings that differ: compare texts
     mixed = groups.where("not alike")
     wide = work.settle(mixed.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > WIDEST).select("h"))
     compared = mixed.count()
     buckets = max(1, compared // BUCKET)
-    asked = mixed.join(wide.withColumn("wide", F.lit(True)), "h", "left").select("h", F.coalesce("wide", F.lit(False)).alias("wide"), F.col("first.n").alias("n"), F.col("first.d").alias("d"), F.col("first.t").alias("t"), F.col("first.p").alias("p"))
-    asked = asked.groupBy("n", "d", "t").agg(F.collect_list(F.struct("h", "wide", "p")).alias("asked"))
-    texts = rows.select(F.col("k.n").alias("n"), F.col("k.d").alias("d"), F.col("k.t").alias("t"), "text")
-    held = texts.join(asked, ["n", "d", "t"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, h, wide_, at, before_, own = [], [], [], [], [], []
-            for i, (text, list_) in enumerate(zip(binary(batch, "text"), batch.column("asked").to_pylist(), strict=True)):
-                for a in list_:
-                    b, around = surroundings(text, a["p"], length)
-                    row.append(i)
-                    h.append(a["h"])
-                    wide_.append(a["wide"])
-                    at.append(a["p"])
-                    before_.append(b)
-                    own.append(around)
-            take = pa.array(row, pa.int32())
-            ids = [batch.column(c).take(take) for c in ("n", "d", "t")]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(h, pa.int64()), pa.array(wide_, pa.bool_()), pa.array(at, pa.int32()), pa.array(before_, pa.int32()), pa.array(own, pa.binary())], ["n", "d", "t", "h", "wide", "p", "before", "around"])
-
-    around = _map(held, cut, "n int, d bigint, t bigint, h bigint, wide boolean, p int, before int, around binary")
+    asked = mixed.join(wide.withColumn("wide", F.lit(True)), "h", "left").select("h", F.coalesce("wide", F.lit(False)).alias("wide"), *[F.col(f"first.{c}").alias(c) for c in (*ROW, "p")])
+    asked = asked.groupBy(*ROW).agg(*[F.collect_list(c).alias(c) for c in ("h", "wide", "p")])
+    around = cut_around(rows.join(asked, ROW), length)
     hashed = bool(wide.limit(1).count())
     if hashed:
         around = work.settle(around)
     narrow = around.where("not wide").withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int"))
 
     def compare(group: pa.Table) -> pa.Table:
-        ids = list(zip(*(group.column(c).to_pylist() for c in ("n", "d", "t")), strict=True))
+        ids = list(zip(*(group.column(c).to_pylist() for c in ROW), strict=True))
         found = compare_bucket(ids, group.column("p").to_pylist(), group.column("before").to_pylist(), group.column("around").to_pylist(), length, keep)
-        own = [ids[i] for i, _, _ in found]
-        return pa.table({
-            "n": pa.array([x[0] for x in own], pa.int32()), "d": pa.array([x[1] for x in own], pa.int64()), "t": pa.array([x[2] for x in own], pa.int64()),
-            "a": pa.array([x[1] for x in found], pa.int32()), "b": pa.array([x[2] for x in found], pa.int32()),
-        })
+        own = group.select(ROW).take(pa.array([i for i, _, _ in found], pa.int64()))
+        return own.append_column("a", pa.array([x[1] for x in found], pa.int32())).append_column("b", pa.array([x[2] for x in found], pa.int32()))
 
-    parts = [whole, narrow.groupBy("bucket").applyInArrow(compare, "n int, d bigint, t bigint, a int, b int")]
+    parts = [whole, narrow.groupBy("bucket").applyInArrow(compare, f"{ROW_KIND}, a int, b int")]
     if hashed:
         parts += _by_hashes(work, around.where("wide"), length, keep)
     removed = parts[0]
     for part in parts[1:]:
         removed = removed.unionByName(part)
-    spans_ = work.settle(removed.groupBy("n", "d", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-    # the spans are all that is read from here on
-    work.drop(twice, placed, groups, wide)
-    return spans_
+    found = work.settle(runs_of(removed))
+    # the ranges are all that is read from here on
+    work.drop(shared, groups, wide, around)
+    return found
 
 
 def _by_hashes(work: Workspace, around: DataFrame, length: int, keep: str) -> list[DataFrame]:
@@ -398,87 +421,84 @@ def _by_hashes(work: Workspace, around: DataFrame, length: int, keep: str) -> li
     return [(part.where("later") if keep == "first" else part).select("n", "d", "t", "a", "b") for part in (whole, single)]
 
 
-def _merge(spans_: list[dict], size: int) -> list[tuple[int, int]]:
-    return merged([(s["a"], min(s["b"], size)) for s in spans_])
-
-
-def duplicate_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
-    """The columns of ``docs`` and spans (array of a, b: byte ranges to remove, neither sorted nor merged; null for none)."""
-    work = Workspace(docs.sparkSession)
+def duplicate_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, and their names: starts and ends of the byte ranges to remove, merged and ascending; null for none."""
+    work, names = Workspace(docs.sparkSession), docs.columns
+    own = {c: apart(f"__{c}", names) for c in (*ROW, "starts", "stops")}
     found = repeats(work, _with_key(docs), length, keep)
-    names = {"n": "__n", "d": "__d", "t": "__t"}
-    found = found.select(*[F.col(c).alias(k) for c, k in names.items()], F.col("spans").alias("__spans"))
-    return docs.select(*docs.columns, *text_key()).join(found, list(names.values()), "left").select(*docs.columns, "__spans")
+    found = found.select(*[F.col(c).alias(k) for c, k in own.items()])
+    keyed = docs.select(*names, *[k.alias(own[c]) for c, k in zip(ROW, text_key(), strict=True)])
+    starts, stops = own["starts"], own["stops"]
+    # a text's last surroundings may reach beyond its end
+    size = F.octet_length("text")
+    out = keyed.join(found, [own[c] for c in ROW], "left")
+    return out.select(*names, starts, F.transform(stops, lambda b: F.least(b, size)).alias(stops)), starts, stops
+
+
+def left_over(starts: Column, stops: Column) -> Column:
+    """The bytes of ``text`` outside the ranges, in order, as a string."""
+    none = F.lit([]).cast("array<int>")
+    begins = F.concat(F.array(F.lit(0)), F.coalesce(stops, none))
+    ends = F.concat(F.coalesce(starts, none), F.array(F.octet_length(F.coalesce("text", F.lit("")))))
+    # the text's bytes are taken once, for all pieces
+    text = F.array(F.coalesce("text", F.lit("")).cast("binary"))
+    return F.get(F.transform(text, lambda t: F.array_join(F.zip_with(begins, ends, lambda a, b: F.substring(t, a + 1, b - a).cast("string")), "")), F.lit(0))
+
+
+def whole_characters(starts: Column, stops: Column) -> Column:
+    """array<struct<a, b>>: the ranges without bytes of characters that they cut."""
+
+    def inside(t: Column, at: Column) -> Column:
+        byte = F.substring(t, at + 1, F.lit(1))
+        return (byte >= F.lit(b"\x80")) & (byte < F.lit(b"\xc0"))
+
+    def moved(t: Column, at: Column, step: int) -> Column:
+        # a character has at most three bytes after its first
+        out = at + 3 * step
+        for k in (2, 1, 0):
+            out = F.when(inside(t, at + k * step), out).otherwise(at + k * step)
+        return out
 
+    text = F.array(F.col("text").cast("binary"))
+    both = F.transform(text, lambda t: F.zip_with(starts, stops, lambda a, b: F.struct(moved(t, a, 1).alias("a"), moved(t, b, -1).alias("b"))))
+    return F.filter(F.get(both, F.lit(0)), lambda r: r["a"] < r["b"])
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
-    """``docs`` with repeated runs cut out of ``text`` and n_chars counted anew.
 
-    Cuts never split a character. A document that loses all its text goes.
+def deduplicated(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
+    """``docs`` with repeated runs cut out of ``text`` and, where there is such a column, n_chars counted anew.
+
+    Cuts never split a character. A document that loses all its text but white
+    space goes; all others stay as they are. Null and empty texts have no runs
+    and stay, as do very long texts, which are cut whole. Of equal runs, the one
+    in the smallest doc_id (null last), then text hash, then position stays;
+    rows repeated as a whole (id and text) are cut alike. Other columns are
+    carried, whatever their names. An empty table gives an empty result.
     """
-    found, names = duplicate_spans(docs, length, keep), docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, texts, sizes = [], [], []
-            old = batch.column("text").cast(pa.binary()).to_pylist()
-            counts = batch.column("n_chars").to_pylist()
-            for i, (text, spans_) in enumerate(zip(old, batch.column("__spans").to_pylist(), strict=True)):
-                if spans_:
-                    ranges = [(a, b) for a, b in (characters(text, a, b) for a, b in _merge(spans_, len(text))) if a < b]
-                    cut = without(text, ranges).decode("utf-8", "replace")
-                    if not cut.strip():
-                        continue
-                    texts.append(cut)
-                    sizes.append(len(cut))
-                else:
-                    texts.append(None if text is None else text.decode("utf-8", "replace"))
-                    sizes.append(counts[i])
-                kept.append(i)
-            out = batch.take(pa.array(kept, pa.int64())).select(names)
-            new = {"text": pa.array(texts, out.schema.field("text").type), "n_chars": pa.array(sizes, out.schema.field("n_chars").type)}
-            yield pa.RecordBatch.from_arrays([new.get(c, out.column(c)) for c in names], names)
-
-    return found.mapInArrow(run, docs.schema)
-
-
-def characters(text: bytes, a: int, b: int) -> tuple[int, int]:
-    """The largest range of whole characters in bytes a to b."""
-    while a < len(text) and text[a] & 0xC0 == 0x80:
-        a += 1
-    while b < len(text) and text[b] & 0xC0 == 0x80:
-        b -= 1
-    return a, b
-
-
-def without(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
-    parts, at = [], 0
-    for a, b in ranges:
-        parts.append(text[at:a])
-        at = b
-    return b"".join([*parts, text[at:]])
-
-
-def removal_report(found: DataFrame) -> DataFrame:
+    names = docs.columns
+    found, starts, stops = duplicate_spans(docs, length, keep)
+    ranges = apart("__ranges", found.columns)
+    marked = found.withColumn(ranges, F.when(F.size(F.coalesce(F.col(starts), F.lit([]).cast("array<int>"))) > 0, whole_characters(F.col(starts), F.col(stops))))
+    cut = F.when(F.col(ranges).isNull(), F.col("text")).otherwise(left_over(F.col(f"{ranges}.a"), F.col(f"{ranges}.b")))
+    text = apart("__text", marked.columns)
+    marked = marked.withColumn(text, cut).where(F.col(ranges).isNull() | F.col(text).rlike(r"[^\x09-\x0D\x20]"))
+    made = {"text": F.col(text)}
+    if "n_chars" in names:
+        counted = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+        made["n_chars"] = F.when(F.col(ranges).isNull(), F.col("n_chars")).otherwise(counted)
+    return marked.select(*[made.get(c, F.col(f"`{c}`")).alias(c) for c in names])
+
+
+def removal_report(found: DataFrame, starts: str, stops: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the rows of duplicate_spans()."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, removed, count, digest = [], [], [], []
-            for text, spans_ in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
-                text = text or b""
-                ranges = _merge(spans_ or [], len(text))
-                size.append(len(text))
-                removed.append(sum(b - a for a, b in ranges))
-                count.append(len(ranges))
-                digest.append(hashlib.sha256(without(text, ranges)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, pa.int64()) for v in (size, removed, count)), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    kind = found.schema["doc_id"].dataType.simpleString()
-    narrow = found.select("doc_id", "text", "__spans")
-    return narrow.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    none = F.lit([]).cast("array<int>")
+    first, last = F.coalesce(F.col(starts), none), F.coalesce(F.col(stops), none)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda x, y: x + y)
+    return found.select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), (total(last) - total(first)).alias("n_removed"),
+        F.size(first).cast("bigint").alias("n_spans"), F.sha2(left_over(first, last).cast("binary"), 256).alias("kept_sha256"),
+    )
 
 
 def op5_suffix(spark, sf_dir: str) -> DataFrame:
     """Every byte of whole documents that a 200-byte run with another occurrence covers."""
-    return removal_report(duplicate_spans(table(spark, sf_dir, "documents"), LENGTH, "none"))
+    return removal_report(*duplicate_spans(table(spark, sf_dir, "documents"), LENGTH, "none"))

@@ -72,6 +72,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, ROWS_AT_ONCE)
 
 
+def apart(stem: str, names: list[str]) -> str:
+    """A column name that is in none of ``names``."""
+    while stem.lower() in {n.lower() for n in names}:
+        stem += "_"
+    return stem
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

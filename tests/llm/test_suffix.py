@@ -34,22 +34,36 @@ def plain_report(rows, length, keep):
 
 
 def got(found):
-    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.removal_report(found).collect())
+    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.removal_report(*found).collect())
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.binary(min_size=0, max_size=60), min_size=1, max_size=5), st.integers(1, 40), st.sampled_from(["first", "none"]))
-def test_suffix_order_against_all_substrings(texts, length, keep):
+def in_common(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(min_size=0, max_size=60), min_size=1, max_size=5), st.integers(1, 40), st.booleans())
+def test_longest_factors_against_all_pairs(texts, length, later):
     texts = [bytes(97 + b % 2 for b in t) for t in texts]
-    buffer = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum([len(t) for t in texts])
-    starts = np.concatenate([np.arange(e - len(t), max(e - len(t), e - length + 1)) for e, t in zip(ends, texts)]).astype(np.int64)
-    met = suffix.repeated_starts(buffer, starts, length, keep)
-    whole, seen = buffer.tobytes(), {}
-    for s in starts.tolist():
-        seen.setdefault(whole[s : s + length], []).append(s)
-    want = sorted(s for places in seen.values() if len(places) > 1 for s in places[1 if keep == "first" else 0 :])
-    assert met.tolist() == want
+    whole, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
+    places = [(s, int(e)) for e, t in zip(ends, texts) for s in range(e - len(t), max(e - len(t), e - length + 1))]
+    starts, stops = np.array(places, np.int64).reshape(-1, 2).T
+    got = suffix.longest_factors(np.frombuffer(whole, np.uint8), starts, stops, length, later)
+    for k, (s, e) in enumerate(places):
+        others = places if later else places[:k]
+        want = max((in_common(whole[s:e], whole[x:y]) for x, y in others if x != s), default=0)
+        assert got[k] == want or want > length <= got[k] <= want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.binary(min_size=1, max_size=80), st.integers(1, 30))
+def test_common_lengths(text, depth):
+    text = bytes(97 + b % 2 for b in text)
+    order = suffix.SuffixOrder(np.frombuffer(text, np.uint8), depth)
+    i, j = (x.ravel() for x in np.mgrid[: len(text), : len(text)])
+    for a, b, n in zip(i.tolist(), j.tolist(), order.common(i, j).tolist()):
+        want = in_common(text[a:], text[b:])
+        assert n == want or want > depth <= n <= want
 
 
 @settings(max_examples=200, deadline=None)
@@ -110,4 +124,4 @@ def test_query_against_all_substrings(spark, sf):
 def test_odd_rows(odd, none):
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
     assert got(suffix.duplicate_spans(odd, 20, "none")) == plain_report(rows, 20, "none")
-    assert suffix.removal_report(suffix.duplicate_spans(none)).count() == 0
+    assert suffix.removal_report(*suffix.duplicate_spans(none)).count() == 0
