@@ -13,12 +13,15 @@ Null text counts as empty: one piece, the end token. Repeated rows are packed
 one by one. Extra columns are ignored. An empty table gives an empty result.
 """
 
+import json
 import re
 import struct
+import sys
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
 from pathlib import Path
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -50,52 +53,95 @@ def byte_alphabet() -> dict[str, int]:
 STAND_IN = {b: c for c, b in byte_alphabet().items()}
 
 
+#: The parts of a tokenizer file whose ids are those of its words, lower-cased and one after the other.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 def pack_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class Words(dict):
+    """word -> token ids as little-endian unsigned 32-bit bytes; learns words that it does not know.
+
+    Most words are small letters, then perhaps marks: two pre-tokens whose
+    merges are all there is to do.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.merges = tokenizer, tokenizer.model.tokenize
+        self.bytes_of = [pack_ids([i]) for i in range(tokenizer.get_vocab_size())]
+        self.marks: dict[bytes, bytes] = {}
+
+    def merged(self, letters: str) -> bytes:
+        of = self.bytes_of
+        return b"".join([of[t.id] for t in self.merges(letters)])
+
+    def __missing__(self, word: bytes) -> bytes:
+        # bytes.isalpha is about ASCII letters
+        if word.isalpha() and word.islower():
+            ids = self.merged(word.decode())
+        elif plain := PLAIN.fullmatch(word):
+            letters, marks = plain.groups()
+            ids = self.get(letters)
+            if ids is None:
+                ids = self.merged(letters.decode("latin-1").translate(STAND_IN))
+            if marks:
+                if marks not in self.marks:
+                    self.marks[marks] = self.merged(marks.decode())
+                ids += self.marks[marks]
+        else:
+            ids = pack_ids(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        self[word] = ids
+        return ids
+
+
 class WordIds:
     """Token ids of a text, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer never joins tokens across white space, so a text's ids are
-    those of its words one after the other, and words are looked up. It lower-
-    cases, so A-Z are lower-cased first, but for texts that may hold the names
-    of special tokens.
+    A tokenizer that is made of BY_WORDS never joins tokens across white
+    space, so a text's ids are those of its words one after the other, and
+    words are looked up. It lower-cases, so A-Z are lower-cased first, but for
+    texts that may hold the names of special tokens. Any other tokenizer is
+    given whole texts.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
+        parts = json.loads(tokenizer_json)
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.merges = self.tokenizer.model.tokenize
-        self.known: dict[bytes, bytes] = {}
+        self.by_words = all(parts.get(k) == v for k, v in BY_WORDS.items()) and parts["model"]["type"] == "BPE" and all(t["content"].startswith("<|") for t in parts["added_tokens"])
+        self.known = Words(self.tokenizer)
 
     def __call__(self, text: bytes) -> bytes:
+        if not self.by_words:
+            return pack_ids(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
         words = (text if b"<|" in text else text.lower()).split()
-        new = set(words).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = set(words)
-            self._learn(list(new))
-        return b"".join(map(self.known.__getitem__, words))
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Most words are small letters, then perhaps marks: two pre-tokens whose merges are all there is to do."""
-        merges, rest = self.merges, []
-        for word in words:
-            plain = PLAIN.fullmatch(word)
-            if plain is None:
-                rest.append(word)
-                continue
-            letters, marks = plain.groups()
-            ids = [t.id for t in merges(letters.decode("latin-1").translate(STAND_IN))]
-            if marks:
-                ids += [t.id for t in merges(marks.decode())]
-            self.known[word] = pack_ids(ids)
-        if rest:
-            made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
-            self.known.update((w, pack_ids(e.ids)) for w, e in zip(rest, made, strict=True))
+        out = b"".join(map(self.known.__getitem__, words))
+        if len(self.known) + len(self.known.marks) > REMEMBERED:
+            self.known.clear()
+            self.known.marks.clear()
+        return out
+
+
+def word_ids(tokenizer_json: str) -> WordIds:
+    """The worker's own WordIds of this tokenizer: tasks that a worker runs one after the other share what it has learned."""
+    # functions travel to workers by value, so a worker's state needs a place of its own
+    held = sys.modules.setdefault("_word_ids_of_this_worker", ModuleType("_word_ids_of_this_worker")).__dict__
+    key = zlib.crc32(tokenizer_json.encode()), len(tokenizer_json)
+    if held.get("key") != key:
+        held["key"], held["ids"] = key, WordIds(tokenizer_json)
+    return held["ids"]
 
 
 def pieces(docs: DataFrame, tokenizer_json: str, limit: int = LIMIT, end: int = END) -> DataFrame:
@@ -105,7 +151,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, limit: int = LIMIT, end: int =
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(spec.value)
+        ids_of = word_ids(spec.value)
         for batch in batches:
             row, piece, length, crc = [], [], [], []
             for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
@@ -196,7 +242,13 @@ def best_fit(counts: dict[int, int], limit: int = LIMIT) -> dict[int, list[tuple
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, limit: int = LIMIT, end: int = END) -> DataFrame:
-    """Every piece with its sequence_id and its offset there. ``docs`` needs doc_id and text."""
+    """Every piece with its sequence_id and its offset there. ``docs`` needs doc_id and text.
+
+    Null and empty texts are one piece, the end token; very long texts are cut
+    into full pieces and a rest; rows with equal ids or repeated as a whole are
+    packed one by one, ties in any order; other columns are ignored, whatever
+    their names. An empty table gives an empty result.
+    """
     spec = Path(tokenizer_path or default_tokenizer()).read_text(encoding="utf-8")
     work = Workspace(docs.sparkSession)
     made = work.settle(pieces(docs, spec, limit, end))

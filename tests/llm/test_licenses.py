@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 
 from rosterflow.llm import licenses
 
@@ -15,8 +16,9 @@ def plain(text):
         places += found
         base |= {label} if found else set()
     labels, best = set(base), 0.0
-    for line in low.split("\n"):
-        block = set(cut(line))
+    lines = low.split("\n")
+    for i in range(len(lines)):
+        block = set(cut("\n".join(lines[i : i + licenses.LINES])))
         for label, notice in licenses.TEMPLATES:
             want = set(licenses.template_words(notice))
             if len(want & block) >= math.ceil(licenses.THRESHOLD * len(want) - 1e-9):
@@ -46,6 +48,26 @@ def test_notices_and_near_notices(spark):
     assert got == {i: plain(t) for i, t in enumerate(texts)}
 
 
+def test_notices_that_wrap(spark):
+    texts = ["\n".join(["before it", *textwrap.wrap(notice, width), "after it"]) for _, notice in licenses.TEMPLATES for width in (40, 60, 76)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: values(r) for r in licenses.report(licenses.scan(df)).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+    assert all(r[5] for r in got.values()) and all(label in got[3 * i][5] for i, (label, _) in enumerate(licenses.TEMPLATES))
+
+
+def test_lower_case_of_every_letter(spark):
+    from pyspark.sql import functions as F
+
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(c,) for c in every], "text string")
+    for r in df.select("text", licenses.lowered(F.col("text")).alias("low")).toLocalIterator():
+        if r.text.isascii():
+            assert r.low == (r.text.lower() if "A" <= r.text <= "Z" else r.text)
+        else:
+            assert not any(c.isascii() for c in r.low)
+
+
 def test_odd_rows(odd, none):
     got = sorted((str(r.doc_id), str(values(r))) for r in licenses.report(licenses.scan(odd)).collect())
     assert got == sorted((str(r.doc_id), str(plain(r.text))) for r in odd.select("doc_id", "text").collect())

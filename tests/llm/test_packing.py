@@ -1,6 +1,8 @@
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -79,3 +81,12 @@ def test_white_space_and_special_strings(spark):
     texts = ["a\x0bb", "a\x1cb", "a b", "don't  stop", "<|endoftext|> x<|startoftext|>y", "é ́x", "AΣ Σ", " line", "1234 5six", "\u0085 x", "İstanbul ǅ", "Éa, ÀB' c's. d'S l'été.", "e\u0301t A\u030a X", "<|ENDOFTEXT|>", "x<|endoftext|>Y Z", "a..b a.,b ,a (b) c|d &% ß.", "naïve! ÷a×b"]
     rows = list(enumerate(texts))
     check(rows, packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_another_tokenizer_is_given_whole_texts():
+    spec = json.loads(Path(packing.default_tokenizer()).read_text(encoding="utf-8"))
+    spec["normalizer"] = {"type": "NFC"}
+    ids, plain = packing.WordIds(json.dumps(spec)), Tokenizer.from_str(json.dumps(spec))
+    for text in ("Some Words, IN capitals", "été É"):
+        assert ids(text.encode()) == packing.pack_ids(plain.encode(text, add_special_tokens=False).ids)
+    assert not ids.by_words and packing.WordIds(Path(packing.default_tokenizer()).read_text(encoding="utf-8")).by_words
