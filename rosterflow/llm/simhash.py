@@ -129,8 +129,8 @@ SIMILAR = 0.8
 HOT = 2
 #: How often texts outside a key's largest group meet some of its members, and how many, before they meet all.
 TURNS, LEADERS = 1, 8
-#: Texts that are sampled for common shingles, the count there that makes one common, and how many are told to workers.
-SAMPLED, COMMON, TOLD = 10_000, 4, 100_000
+#: The share of texts whose shingles are counted for common ones, the count there that makes one common, and how many are told to workers.
+SHARE, COMMON, TOLD = 1 / 8, 4, 250_000
 #: Shares of the shingles that are looked up one after the other: only one of them is shuffled at a time.
 SLICES = 4
 #: Longs of a text's sketch.
@@ -142,10 +142,10 @@ def text_key() -> list[Column]:
     return [F.col("doc_id").isNull().cast("int").alias("__n"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("__d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__t")]
 
 
-def common_shingles(texts: DataFrame, distinct: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, counts) of shingles that many of about SAMPLED texts have; any answer gives the same links."""
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of the most common shingles of a SHARE of all texts; any answer gives the same links."""
     span = 1 << 20
-    some = texts.where(F.pmod("t", F.lit(span)) < math.ceil(span * min(1.0, SAMPLED / max(distinct, 1))))
+    some = texts.where(F.pmod("t", F.lit(span)) < math.ceil(span * SHARE)).dropDuplicates(["t"])
     seen = shingle_sets(some, width).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("c"))
     found = seen.where(F.col("c") >= COMMON).orderBy(F.desc("c"), "gram").limit(TOLD).toArrow()
     hashes, counts = found["gram"].to_numpy(), found["c"].to_numpy()
@@ -230,18 +230,18 @@ def unlike(similar: float, n: str, m: str) -> Column:
 
 
 def met_outside(split: DataFrame, turn: int) -> DataFrame:
-    """Rows of ``split`` (key, t, n, i, sketch, group, main) outside their key's main group, each with LEADERS texts (u, m, j, other_sketch) of it."""
-    text = ["t", "n", "i", "sketch"]
+    """Rows of ``split`` (key, t, n, i, group, main) outside their key's main group, each with LEADERS texts (u, m, j) of it."""
+    text = ["t", "n", "i"]
     drawn = [F.min(F.struct(F.xxhash64("t", F.lit(turn * LEADERS + k)).alias("draw"), *text)).alias(f"l{k}") for k in range(LEADERS)]
     leaders = split.where(F.col("group") == F.col("main")).groupBy("key").agg(*drawn)
     leaders = leaders.select("key", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"l{k}.{c}") for c in text]) for k in range(LEADERS)]))).alias("leader"))
-    leaders = leaders.select("key", F.col("leader.t").alias("u"), F.col("leader.n").alias("m"), F.col("leader.i").alias("j"), F.col("leader.sketch").alias("other_sketch"))
+    leaders = leaders.select("key", F.col("leader.t").alias("u"), F.col("leader.n").alias("m"), F.col("leader.i").alias("j"))
     return split.where("group <> main").join(leaders, "key")
 
 
 def all_outside(split: DataFrame) -> DataFrame:
     """Rows of ``split``, each with all texts under its key that are in another group, neither of them the main one or only one."""
-    other = split.where("group <> main").select("key", F.col("group").alias("other"), F.col("t").alias("u"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("sketch").alias("other_sketch"))
+    other = split.where("group <> main").select("key", F.col("group").alias("other"), F.col("t").alias("u"), F.col("n").alias("m"), F.col("i").alias("j"))
     once = (F.col("group") == F.col("main")) | (F.col("t") < F.col("u"))
     return split.join(other, "key").where((F.col("group") != F.col("other")) & once)
 
@@ -273,7 +273,7 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR)
     keyed = docs.select(*names, *[k.alias(c) for k, c in zip(text_key(), own, strict=True)])
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), *text_key()).withColumnRenamed("__t", "t")
     firsts = work.settle(texts.groupBy("t").agg(F.min(F.struct("__n", "__d")).alias("first")))
-    common = common_shingles(texts.dropDuplicates(["t"]), firsts.count(), width)
+    common = common_shingles(texts, width)
     index = work.settle(prefix_index(texts, width, similar, common).dropDuplicates(["t"]))
     sketches = work.settle(index.select("t", "n", "sketch"))
     slices = []
@@ -289,7 +289,7 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR)
     found = hits.join(met, "key").where((F.col("t") != F.col("u")) & fits)
     labels = work.settle(connected(work, similar_pairs(work, texts, sketches, found, width, similar)))
     # texts outside the largest group of a hot key meet some of its members first, which leaves few of a group of copies, and then all
-    hot = work.settle(hits.where(F.col("c") > HOT).select("key", "t", "n", "i").join(sketches.select("t", "sketch"), "t"))
+    hot = hits.where(F.col("c") > HOT).select("key", "t", "n", "i")
     for turn in range(TURNS + 1):
         group = labels.select(F.col("node").alias("t"), "component")
         grouped = hot.join(group, "t", "left").withColumn("group", F.coalesce("component", "t")).drop("component")
@@ -300,11 +300,11 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR)
             work.drop(split)
             break
         across = met_outside(split, turn) if turn < TURNS else all_outside(split)
-        linked = similar_pairs(work, texts, sketches, across.where(fits & (apart_by("sketch", "other_sketch") <= unlike(similar, "n", "m"))), width, similar)
+        linked = similar_pairs(work, texts, sketches, across.where(fits), width, similar)
         joined = work.settle(connected(work, linked.unionAll(labels.select("node", "component"))))
         work.drop(split, linked, labels)
         labels = joined
-    work.drop(*slices, hot)
+    work.drop(*slices)
     who = labels.join(firsts, labels["node"] == firsts["t"])
     stays = who.groupBy("component").agg(F.min_by("node", "first").alias("stays"))
     removed = labels.join(stays, "component").where("node <> stays").select(F.col("node").alias("t"))

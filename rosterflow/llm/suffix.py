@@ -304,7 +304,8 @@ def repeats(work: Workspace, rows: DataFrame, length: int, keep: str) -> DataFra
     placed = work.settle(anchored(rows, length))
     seen = placed.groupBy("h").agg(F.count("*").alias("c"), F.min("around").alias("least"), F.max("around").alias("most"))
     twice = work.settle(seen.where("c > 1").select("h", (F.col("least") == F.col("most")).alias("alike")))
-    shared = work.settle(placed.join(twice, "h"))
+    # sizes grow with the corpus, so the plan is the one that holds at every size
+    shared = work.settle(placed.join(twice.hint("merge"), "h"))
     work.drop(placed, twice)
     here = F.struct(*ROW, "p")
     groups = work.settle(shared.groupBy("h", "around", "alike").agg(F.count("*").alias("m"), F.min(here).alias("first")))
@@ -431,7 +432,7 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first")
     starts, stops = own["starts"], own["stops"]
     # a text's last surroundings may reach beyond its end
     size = F.octet_length("text")
-    out = keyed.join(found, [own[c] for c in ROW], "left")
+    out = keyed.join(found.hint("merge"), [own[c] for c in ROW], "left")
     return out.select(*names, starts, F.transform(stops, lambda b: F.least(b, size)).alias(stops)), starts, stops
 
 
