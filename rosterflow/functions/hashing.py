@@ -1,5 +1,7 @@
 """Integer companions of string ids, and sort keys of names."""
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,13 +13,24 @@ def person_hash(external_id: Column) -> Column:
     return F.conv(flipped, 16, -10).cast("bigint")
 
 
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUY"
+def _plain_letters() -> tuple[str, str]:
+    """(letters with marks, their letters): all that decompose into one letter and marks; marks of their own have no letter and go."""
+    pairs, marks = [], []
+    for c in map(chr, range(0x80, 0x3000)):
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if not bare:
+            marks.append(c)
+        elif bare != c and len(bare) == 1:
+            pairs.append((c, bare))
+    return "".join(c for c, _ in pairs) + "".join(marks), "".join(x for _, x in pairs)
+
+
+MARKED, PLAIN = _plain_letters()
 
 
 def name_key(last: Column, first: Column, start: int = 1) -> Column:
     """Sixteen characters of LAST FIRST without accents, upper case, padded with blanks: their order is alphabetical."""
-    name = F.translate(F.upper(F.concat_ws(" ", last, first)), ACCENTED, PLAIN)
+    name = F.upper(F.translate(F.concat_ws(" ", last, first), MARKED, PLAIN))
     return F.rpad(F.substring(name, start, 16), 16, " ")
 
 

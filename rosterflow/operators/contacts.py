@@ -72,31 +72,75 @@ def door_progress(residents: DataFrame, recorded: DataFrame) -> DataFrame:
     return doors.agg(F.sum("n").alias("people"), F.sum("k").alias("people_done"), F.count("*").alias("doors"), F.count_if("done").alias("doors_done"))
 
 
-def opened_walks(opens: DataFrame, hours: int = DEDUPE_WALK_HOURS) -> DataFrame:
-    """turf_id, phone, opened_at, closed_at of walks.
+def recorded(latest: DataFrame) -> DataFrame:
+    """Rows of ``latest`` (outcome, responses) that say something: an outcome other than canvassed, or an answer with an option or a text."""
+    given = F.from_json("responses", "map<string, struct<optionIds: array<string>, text: string>>")
+    answered = F.exists(F.map_values(given), lambda r: (F.size(F.coalesce(r["optionIds"], F.array().cast("array<string>"))) > 0) | (F.trim(F.coalesce(r["text"], F.lit(""))) != ""))
+    return latest.where(F.coalesce(F.col("outcome") != "canvassed", F.lit(False)) | F.coalesce(answered, F.lit(False)))
 
-    Opening a turf again within ``hours`` of its walk's opening continues that
-    walk; opening another walk closes the phone's walk before it.
+
+def opened_walks(opens: DataFrame, closes: DataFrame | None = None, hours: int = DEDUPE_WALK_HOURS) -> DataFrame:
+    """organization_id, turf_id, phone, opened_at, closed_at of walks, from ``opens`` (the first four columns).
+
+    A phone has one open walk in an organisation. Opening its turf again up to
+    ``hours`` after the walk was opened goes on with it; any other opening
+    closes it and opens the next, and so does a row of ``closes``
+    (organization_id, turf_id, phone, closed_at) without a next. An opening
+    without a phone is a walk of its own that nothing closes.
     """
-    by_turf = Window.partitionBy("phone", "turf_id").orderBy("opened_at")
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    gap = micros(F.col("opened_at")) - micros(F.lag("opened_at").over(by_turf))
-    fresh = opens.withColumn("new", F.coalesce(gap >= hours * 3_600_000_000, F.lit(True))).where("new").drop("new")
-    return fresh.withColumn("closed_at", F.lead("opened_at").over(Window.partitionBy("phone").orderBy("opened_at", "turf_id")))
+    who = ["organization_id", "phone"]
+    events = opens.where("phone is not null").select(*who, "turf_id", F.col("opened_at").alias("at"), F.lit(1).alias("opens"))
+    if closes is not None:
+        events = events.unionByName(closes.select(*who, "turf_id", F.col("closed_at").alias("at"), F.lit(0).alias("opens")))
+    order = Window.partitionBy(*who).orderBy("at", "turf_id", "opens")
+    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
+    # a close counts where the turf is that of the opening before it
+    last = F.last(F.when(F.col("opens") == 1, F.col("turf_id")), ignorenulls=True).over(ahead)
+    events = events.withColumn("own", last.eqNullSafe(F.col("turf_id"))).where("opens = 1 or own")
+    closed = F.coalesce(F.lag("opens").over(order) == 0, F.lit(False))
+    run = F.sum((~F.col("own") | closed | (F.col("opens") == 0)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # openings of one turf in a row: some of them go on with the walk before
+    runs = events.withColumn("run", run).groupBy(*who, "run", "turf_id", "opens").agg(F.sort_array(F.collect_list(F.col("at").cast("timestamp"))).alias("times"))
+    reach = F.expr(f"INTERVAL {hours} HOURS")
+
+    def started(times: Column) -> Column:
+        none = F.array().cast("array<timestamp>")
+        return F.aggregate(times, none, lambda found, t: F.when((F.size(found) == 0) | (t > F.element_at(F.concat(found, F.array(t)), F.greatest(F.size(found), F.lit(1))) + reach), F.array_append(found, t)).otherwise(found))
+
+    begun = runs.select(*who, "turf_id", "opens", F.explode(F.when(F.col("opens") == 1, started(F.col("times"))).otherwise(F.col("times"))).alias("at"))
+    begun = begun.withColumn("closed_at", F.lead("at").over(order)).where("opens = 1")
+    kind = opens.schema["opened_at"].dataType
+    named = begun.select("organization_id", "turf_id", "phone", F.col("at").cast(kind).alias("opened_at"), F.col("closed_at").cast(kind).alias("closed_at"))
+    alone = opens.where("phone is null").select("organization_id", "turf_id", "phone", "opened_at", F.lit(None).cast(kind).alias("closed_at"))
+    return named.unionByName(alone)
+
+
+#: Words before a unit that do not count in its order.
+UNIT_WORDS = ["APARTMENT", "APT", "UNIT", "SUITE", "STE", "FLOOR", "FL", "BUILDING", "BLDG", "#"]
+
+
+def natural(text: Column) -> Column:
+    """A key that orders text with numbers in it by the numbers."""
+    parts = F.regexp_extract_all(F.upper(text), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p)), "")
 
 
 def walk_order(doors: DataFrame) -> DataFrame:
-    """building_id, door_id, place: penthouses, then floors from the top, letters in order, doors without a unit last."""
-    unit = F.upper(F.trim(F.coalesce("unit", F.lit(""))))
-    floor = F.when(unit.startswith("PH"), F.lit(1_000_000)).otherwise(F.regexp_extract(unit, "([0-9]+)", 1).try_cast("int"))
-    letters = F.regexp_extract(unit, "([A-Z]*)$", 1)
-    order = Window.partitionBy("building_id").orderBy((unit == "").cast("int"), F.coalesce(floor, F.lit(-1)).desc(), letters, "door_id")
+    """building_id, door_id, place: penthouses, then floors from the top, then units without one; letters and numbers in order; doors without a unit last.
+
+    A unit's floor is the number that it begins with, once a word such as APT is off.
+    """
+    unit = F.trim(F.regexp_replace(F.trim(F.coalesce("unit", F.lit(""))), "(?i)^(" + "|".join(UNIT_WORDS) + r")\s*", ""))
+    number = F.regexp_extract(unit, "^([0-9]+)", 1)
+    floor = F.when(unit.rlike("(?i)^PH"), F.lit(float("inf"))).otherwise(F.coalesce(number.try_cast("double"), F.lit(-1.0)))
+    rest = F.regexp_extract(unit, r"^[0-9]*\s*(.*)$", 1)
+    order = Window.partitionBy("building_id").orderBy((unit == "").cast("int"), floor.desc(), natural(rest), "door_id")
     return doors.select("building_id", "door_id", F.row_number().over(order).alias("place"))
 
 
 def next_building(buildings: DataFrame) -> DataFrame:
-    """turf_id, building_id, next_id in walking order; after the last comes the first."""
-    ring = Window.partitionBy("turf_id").orderBy("street", "number", "building_id")
+    """turf_id, building_id, next_id in walking order (numbers in streets and house numbers by their size); after the last comes the first."""
+    ring = Window.partitionBy("turf_id").orderBy(natural(F.col("street")), natural(F.col("number").cast("string")), "building_id")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return buildings.select("turf_id", "building_id", F.coalesce(F.lead("building_id").over(ring), F.first("building_id").over(whole)).alias("next_id"))
 

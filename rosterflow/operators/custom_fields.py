@@ -95,6 +95,19 @@ def coverage(values: DataFrame) -> DataFrame:
     return values.groupBy("field_id").agg(F.countDistinct("external_id").alias("coverage"), F.array_sort(F.collect_set("value")).alias("options"))
 
 
+def cleared_coverage(before: DataFrame, field_id: str) -> DataFrame:
+    """``before`` (coverage()) once a field's values are gone: its row stays with nobody covered, and its options as they were."""
+    return before.withColumn("coverage", F.when(F.col("field_id") == field_id, F.lit(0).cast("bigint")).otherwise(F.col("coverage")))
+
+
+def merged_coverage(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The coverage rows of ``after``, with the options of ``before`` too: options only ever grow, and no field goes."""
+    old = before.select("field_id", F.col("options").alias("old"))
+    none = F.array().cast("array<string>")
+    both = after.join(old, "field_id", "full")
+    return both.select("field_id", F.coalesce("coverage", F.lit(0)).alias("coverage"), F.array_sort(F.array_union(F.coalesce("options", none), F.coalesce("old", none))).alias("options"))
+
+
 def upsert(known: DataFrame, asked: DataFrame) -> DataFrame:
     """The registry (field_id, label, type, archived) with ``asked`` (same columns): new labels come in, archived ones revive; a type may not change."""
     clash = known.join(asked.select("label", F.col("type").alias("new_type")), "label").where("type <> new_type").limit(1).collect()

@@ -28,7 +28,7 @@ class Compiled:
     predicate: Column
     clauses: list[tuple[str, Column]]
     needs_wide: bool = False
-    id_sets: list[list[str]] = field(default_factory=list)
+    id_sets: list[list[str] | DataFrame] = field(default_factory=list)
     catalog: Catalog | None = None
 
     def attach(self, persons: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ class Compiled:
             out = out.join(renamed, "person_h", "left")
         for i, ids in enumerate(self.id_sets):
             spark = persons.sparkSession
-            keys = spark.createDataFrame([(x,) for x in sorted(set(ids))], "external_id string")
+            keys = ids if isinstance(ids, DataFrame) else spark.createDataFrame([(x,) for x in sorted(set(ids))], "external_id string")
             out = out.join(keys.withColumn(f"__in{i}", F.lit(True)), "external_id", "left")
         return out
 
@@ -52,7 +52,7 @@ class Compiler:
     def __init__(self, catalog: Catalog):
         self.catalog = catalog
         self.needs_wide = False
-        self.id_sets: list[list[str]] = []
+        self.id_sets: list[list[str] | DataFrame] = []
 
     def compile(self, tree: Criteria, key_filter: tuple[str, list[str]] | None = None) -> Compiled:
         """``key_filter`` (key group, keys) is and-ed around the whole tree."""
@@ -85,7 +85,7 @@ class Compiler:
                 inner = fold(self._clauses(f.criteria))
                 return F.lit(True) if inner is None else inner
             case "person-id-set":
-                return self._ids(list(f.ids or []))
+                return self._ids(f.ids if isinstance(f.ids, DataFrame) else list(f.ids or []))
             case "address":
                 return self._address(f)
             case "voting-history-count":
@@ -133,8 +133,8 @@ class Compiler:
                 return between(column, f.min, f.max)
         raise CriteriaError(f"unknown filter kind {f.kind!r}")
 
-    def _ids(self, ids: list[str]) -> Column:
-        if len(ids) <= LITERAL_IDS:
+    def _ids(self, ids: list[str] | DataFrame) -> Column:
+        if not isinstance(ids, DataFrame) and len(ids) <= LITERAL_IDS:
             return F.col("external_id").isin(ids) if ids else F.lit(False)
         self.id_sets.append(ids)
         return F.coalesce(F.col(f"__in{len(self.id_sets) - 1}"), F.lit(False))

@@ -62,33 +62,35 @@ def has_references(tree: Criteria) -> bool:
     return any(s.filter.kind in kinds or (s.filter.kind == "nested" and has_references(s.filter.criteria)) for s in tree.steps)
 
 
-def resolve(tree: Criteria, load: Callable[[str], Criteria | None], latest: DataFrame) -> Criteria:
+def resolve(tree: Criteria, load: Callable[[str], Criteria | None], latest: DataFrame, listed: bool = False) -> Criteria:
     """A tree without references. ``latest``: person_id, outcome, responses of each turf's and person's latest result.
 
-    Untouched if there is nothing to resolve.
+    Untouched if there is nothing to resolve. Contact filters become sets of
+    ids that stay tables and are joined; with ``listed`` they become lists, for
+    trees that are stored.
     """
-    return _contacts(expand_segments(tree, load), latest) if has_references(tree) else tree
+    return _contacts(expand_segments(tree, load), latest, listed) if has_references(tree) else tree
 
 
-def _contacts(tree: Criteria, latest: DataFrame) -> Criteria:
+def _contacts(tree: Criteria, latest: DataFrame, listed: bool) -> Criteria:
     steps = []
     for s in tree.steps:
         f = s.filter
         if f.kind == "nested":
-            f = Filter("nested", {"criteria": _contacts(f.criteria, latest)})
+            f = Filter("nested", {"criteria": _contacts(f.criteria, latest, listed)})
         elif f.kind == "canvass-outcome":
             if not f.outcomes:
                 continue
-            f = _ids(latest.where(F.col("outcome").isin(list(f.outcomes))))
+            f = _ids(latest.where(F.col("outcome").isin(list(f.outcomes))), listed)
         elif f.kind == "canvass-response":
             if not f.optionIds:
                 continue
             given = F.from_json(F.get_json_object("responses", f"$['{f.questionId}'].optionIds"), "array<string>")
-            f = _ids(latest.where(F.arrays_overlap(given, F.lit(list(f.optionIds)))))
+            f = _ids(latest.where(F.arrays_overlap(given, F.lit(list(f.optionIds)))), listed)
         steps.append(Step(s.verb, f))
     return Criteria(tuple(steps))
 
 
-def _ids(rows: DataFrame) -> Filter:
-    # the resolved tree is stored and shown, so the ids are part of it
-    return Filter("person-id-set", {"ids": sorted(r["person_id"] for r in rows.select("person_id").distinct().collect())})
+def _ids(rows: DataFrame, listed: bool) -> Filter:
+    ids = rows.select(F.col("person_id").alias("external_id")).where("external_id is not null").distinct()
+    return Filter("person-id-set", {"ids": sorted(r["external_id"] for r in ids.collect()) if listed else ids})

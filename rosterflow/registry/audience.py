@@ -171,25 +171,30 @@ def contact_filter(spark, sf_dir: str, step_) -> DataFrame:
 
 def zone_tables(spark, sf_dir: str) -> DataFrame:
     people = frame(spark, sf_dir, "persons")
-    drafts = people.where("person_h % 3 = 0").select(F.col("zip5").alias("zone_id"))
-    turfs = people.where("person_h % 5 = 0 AND zip5 > '00004'").select(F.col("zip5").alias("zone_id"), (F.col("person_h") % 2 == 0).alias("active"))
+    drafts = people.where("zip5 < '00020'").select(F.col("zip5").alias("zone_id"))
+    turfs = people.where("zip5 > '00004'").select(F.col("zip5").alias("zone_id"), (F.col("person_h") % 2 == 0).alias("active"))
     return contacts.zone_stats(drafts, turfs)
 
 
 def door_progress(spark, sf_dir: str) -> DataFrame:
     residents = frame(spark, sf_dir, "persons").select(F.col("external_id").alias("person_id"), F.col("door_i").alias("door_id"))
-    done = contacts.latest_results(events(spark, sf_dir)).where("outcome is not null")
+    done = contacts.recorded(contacts.latest_results(events(spark, sf_dir)))
     return contacts.door_progress(residents, done)
 
 
 def walks(spark, sf_dir: str) -> DataFrame:
-    opens = events(spark, sf_dir).select("turf_id", (F.col("sequence") % 11).cast("string").alias("phone"), F.col("created_at").alias("opened_at"))
-    return contacts.opened_walks(opens.dropDuplicates(["turf_id", "phone", "opened_at"]))
+    log = events(spark, sf_dir)
+    phone = F.when(F.col("sequence") % 13 != 0, (F.col("sequence") % 11).cast("string"))
+    turf = F.concat(F.lit("t"), F.floor(F.unix_timestamp("created_at") / 36_000 % 5).cast("string"))
+    opens = log.select(F.lit("o1").alias("organization_id"), turf.alias("turf_id"), phone.alias("phone"), F.col("created_at").alias("opened_at")).where("phone is not null").distinct()
+    alone = log.where("sequence % 13 = 0").select(F.lit("o1").alias("organization_id"), turf.alias("turf_id"), F.lit(None).cast("string").alias("phone"), F.col("created_at").alias("opened_at"))
+    return contacts.opened_walks(opens.unionByName(alone))
 
 
 def units(spark, sf_dir: str) -> DataFrame:
     p = frame(spark, sf_dir, "persons")
-    unit = F.when(F.col("person_h") % 9 == 0, "PH").when(F.col("person_h") % 9 == 1, None).otherwise(F.concat((F.col("person_h") % 12).cast("string"), F.element_at(F.lit(["A", "B", "C"]), (F.col("person_h") % 3 + 1).cast("int"))))
+    listed = F.lit(["PH", None, "APT 5B", "5-10", "5-2", "B12", "apt PH1", "Unit 12 A", "# 3", "12AA", "Suite B2", "2"])
+    unit = F.element_at(listed, (F.col("person_h") % 12 + 1).cast("int"))
     return p.select((F.col("person_h") % 20).alias("building_id"), F.col("person_h").alias("door_id"), unit.alias("unit"))
 
 
@@ -204,6 +209,27 @@ def custom_append(spark, sf_dir: str) -> DataFrame:
     return custom_fields.coverage(after).select("field_id", "coverage", F.size("options").cast("bigint").alias("n_options"), F.array_join(F.slice("options", 1, 5), ",").alias("first_options"))
 
 
+def custom_clear(spark, sf_dir: str) -> DataFrame:
+    values = frame(spark, sf_dir, "field_values")
+    before = custom_fields.coverage(values)
+    after = custom_fields.coverage(custom_fields.clear(values, "f-num"))
+    return custom_fields.merged_coverage(before, after).select("field_id", "coverage", F.size("options").cast("bigint").alias("n_options"))
+
+
+#: A phone's openings one after the other: the same turf within five hours of its walk's opening opens nothing.
+WALKS = sql("""opens AS (SELECT DISTINCT 't' || cast(cast(floor(epoch(created_at) / 36000 % 5) AS int) AS string) AS turf_id, cast(sequence % 11 AS string) AS phone, created_at AS opened_at FROM contacts WHERE sequence % 13 <> 0),
+ numbered AS (SELECT *, row_number() OVER (PARTITION BY phone ORDER BY opened_at, turf_id) AS k FROM opens),
+ walked AS (SELECT phone, k, turf_id, opened_at, turf_id AS walk_turf, opened_at AS walk_at, true AS fresh FROM numbered WHERE k = 1
+  UNION ALL SELECT n.phone, n.k, n.turf_id, n.opened_at, CASE WHEN n.turf_id = w.walk_turf AND n.opened_at <= w.walk_at + INTERVAL 5 HOUR THEN w.walk_turf ELSE n.turf_id END,
+   CASE WHEN n.turf_id = w.walk_turf AND n.opened_at <= w.walk_at + INTERVAL 5 HOUR THEN w.walk_at ELSE n.opened_at END, NOT (n.turf_id = w.walk_turf AND n.opened_at <= w.walk_at + INTERVAL 5 HOUR)
+  FROM walked w JOIN numbered n ON n.phone = w.phone AND n.k = w.k + 1)
+ SELECT 'o1' AS organization_id, turf_id, phone, opened_at, lead(opened_at) OVER (PARTITION BY phone ORDER BY k) AS closed_at FROM walked WHERE fresh
+ UNION ALL SELECT 'o1', 't' || cast(cast(floor(epoch(created_at) / 36000 % 5) AS int) AS string), NULL, created_at, NULL FROM contacts WHERE sequence % 13 = 0""", "contacts").replace("WITH ", "WITH RECURSIVE ", 1).replace("\nopens AS", ",\nopens AS", 1)
+#: Units in their order within a building, written out by hand.
+UNITS = sql("""SELECT building_id, door_id, row_number() OVER (PARTITION BY building_id ORDER BY nr, door_id) AS place FROM (SELECT person_h % 20 AS building_id, person_h AS door_id,
+ [1, 12, 8, 7, 6, 10, 2, 3, 9, 4, 11, 10][person_h % 12 + 1] AS k, person_h % 12 AS u FROM persons) JOIN (VALUES (0, 1), (6, 2), (7, 3), (9, 4), (4, 5), (3, 6), (2, 7), (8, 8), (11, 9), (5, 10), (10, 11), (1, 12)) o(u, nr) USING (u)""", "persons")
+
+
 NEWER = "all_values AS (SELECT * FROM field_values v WHERE NOT EXISTS (SELECT 1 FROM new_values n WHERE n.external_id = v.external_id AND n.field_id = v.field_id) UNION ALL SELECT * FROM new_values)"
 PEOPLE_F = f"SELECT * FROM persons WHERE {IS_F}"
 FEMALE_FIRST = S("narrow", "enum", key="gender", values=["F"])
@@ -224,7 +250,7 @@ MORE = {
     "election_masks": (election_masks, history_sql(f", {MASKS_SQL} SELECT external_id, {SIGNED.replace('m::', 'm0::').replace('m >=', 'm0 >=')} AS election_mask_0, {SIGNED.replace('m::', 'm1::').replace('m >=', 'm1 >=')} AS election_mask_1 FROM masks").replace(" , masks", ", masks")),
     "custom_wide_pivot": (lambda s, d: wide_table(s, d), f"{sql('', 'field_values').rstrip()}, {WIDE} SELECT person_h, n AS f_fnum, e AS f_fenum, d AS f_fdate, c AS f_fcode FROM wide"),
     "custom_latest_wins": (custom_append, f"{sql('', 'field_values', 'new_values').rstrip()}, {NEWER} SELECT field_id, count(DISTINCT external_id) AS coverage, count(DISTINCT value) AS n_options, array_to_string(list_sort(list(DISTINCT value))[1:5], ',') AS first_options FROM all_values GROUP BY 1"),
-    "custom_clear": (lambda s, d: custom_fields.coverage(custom_fields.clear(frame(s, d, "field_values"), "f-num")).select("field_id", "coverage"), sql("SELECT field_id, count(DISTINCT external_id) AS coverage FROM field_values WHERE field_id <> 'f-num' GROUP BY 1", "field_values")),
+    "custom_clear": (custom_clear, sql("SELECT field_id, count(DISTINCT external_id) FILTER (field_id <> 'f-num') AS coverage, count(DISTINCT value) AS n_options FROM field_values GROUP BY 1", "field_values")),
     "custom_matched": (lambda s, d: custom_fields.matched(frame(s, d, "field_values"), matching(s, d, FEMALE_FIRST)), sql(f"SELECT count(DISTINCT external_id) AS matched FROM field_values WHERE external_id IN (SELECT external_id FROM persons WHERE {IS_F})", "persons", "field_values")),
     "custom_field_examples": (lambda s, d: custom_fields.examples(frame(s, d, "field_values"), "f-enum", seed=1), None),
     "upload_validation": (upload_checks, sql("SELECT count(*) FILTER (WHERE try_cast(v AS date) IS NULL) AS bad_count, min(v) FILTER (WHERE try_cast(v AS date) IS NULL) AS example, count(DISTINCT v) AS distinct_count FROM (SELECT trim(date_of_birth) AS v FROM persons) WHERE v <> ''", "persons")),
@@ -234,12 +260,12 @@ MORE = {
     "turf_progress": (lambda s, d: contacts.turf_progress(events(s, d)), contacts_sql("SELECT turf_id, count(*) AS done FROM latest WHERE outcome IS NOT NULL GROUP BY 1")),
     "person_summaries": (lambda s, d: contacts.summaries(events(s, d)), contacts_sql("SELECT person_id, nullif(outcome, 'canvassed') AS outcome, coalesce(n, 0) AS n_notes FROM (SELECT person_id, payload->>'$.outcome' AS outcome FROM contacts WHERE kind = 'result' QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY created_at DESC) = 1) FULL JOIN (SELECT person_id, count(*) AS n FROM contacts WHERE kind = 'note' GROUP BY 1) USING (person_id)")),
     "response_tallies": (lambda s, d: contacts.tallies(contacts.latest_results(events(s, d)), "q1", ["o0", "o2", "o4", "o9"]), contacts_sql("SELECT o.option_id, count(DISTINCT person_id) AS persons, (SELECT count(DISTINCT person_id) FROM latest WHERE list_has_any(CAST(payload->'$.responses.q1.optionIds' AS VARCHAR[]), ['o0', 'o2', 'o4', 'o9'])) AS answerers FROM (VALUES ('o0'), ('o2'), ('o4'), ('o9')) o(option_id) LEFT JOIN latest ON list_contains(CAST(payload->'$.responses.q1.optionIds' AS VARCHAR[]), o.option_id) GROUP BY 1")),
-    "zone_stats": (zone_tables, sql("SELECT zone_id, coalesce(drafts, 0) AS drafts, coalesce(published, 0) AS published, coalesce(active, 0) AS active FROM (SELECT zip5 AS zone_id, count(*) AS drafts FROM persons WHERE person_h % 3 = 0 GROUP BY 1) FULL JOIN (SELECT zip5 AS zone_id, count(*) AS published, count(*) FILTER (WHERE person_h % 2 = 0) AS active FROM persons WHERE person_h % 5 = 0 AND zip5 > '00004' GROUP BY 1) USING (zone_id)", "persons")),
-    "door_progress": (door_progress, contacts_sql("SELECT cast(sum(n) AS BIGINT) AS people, cast(sum(k) AS BIGINT) AS people_done, count(*) AS doors, count(*) FILTER (WHERE n = k) AS doors_done FROM (SELECT door_i, count(*) AS n, count(*) FILTER (WHERE external_id IN (SELECT person_id FROM latest WHERE outcome IS NOT NULL)) AS k FROM persons GROUP BY 1)", "persons")),
+    "zone_stats": (zone_tables, sql("SELECT zone_id, coalesce(drafts, 0) AS drafts, coalesce(published, 0) AS published, coalesce(active, 0) AS active FROM (SELECT zip5 AS zone_id, count(*) AS drafts FROM persons WHERE zip5 < '00020' GROUP BY 1) FULL JOIN (SELECT zip5 AS zone_id, count(*) AS published, count(*) FILTER (WHERE person_h % 2 = 0) AS active FROM persons WHERE zip5 > '00004' GROUP BY 1) USING (zone_id)", "persons")),
+    "door_progress": (door_progress, contacts_sql("SELECT cast(sum(n) AS BIGINT) AS people, cast(sum(k) AS BIGINT) AS people_done, count(*) AS doors, count(*) FILTER (WHERE n = k) AS doors_done FROM (SELECT door_i, count(*) AS n, count(*) FILTER (WHERE external_id IN (SELECT person_id FROM latest WHERE outcome <> 'canvassed' OR len(coalesce(CAST(payload->'$.responses.q1.optionIds' AS VARCHAR[]), [])) > 0 OR trim(coalesce(payload->>'$.responses.q2.text', '')) <> '')) AS k FROM persons GROUP BY 1)", "persons")),
     "event_dedupe": (lambda s, d: contacts.deduplicated(events(s, d)).select("sequence", "turf_id"), sql("SELECT sequence, turf_id FROM contacts WHERE client_event_id IS NULL UNION ALL SELECT sequence, turf_id FROM (SELECT * FROM contacts WHERE client_event_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY client_event_id ORDER BY sequence) = 1)", "contacts")),
     "event_pull_page": (lambda s, d: contacts.page(events(s, d), "t3", 500, 40).select("sequence", "person_id", "kind"), sql("SELECT sequence, person_id, kind FROM contacts WHERE turf_id = 't3' AND sequence > 500 ORDER BY sequence LIMIT 40", "contacts")),
-    "walks_open_close": (walks, sql("SELECT turf_id, phone, opened_at, lead(opened_at) OVER (PARTITION BY phone ORDER BY opened_at, turf_id) AS closed_at FROM (SELECT *, epoch_us(opened_at) - epoch_us(lag(opened_at) OVER (PARTITION BY phone, turf_id ORDER BY opened_at)) AS gap FROM (SELECT DISTINCT turf_id, cast(sequence % 11 AS string) AS phone, created_at AS opened_at FROM contacts)) WHERE gap IS NULL OR gap >= 18000000000", "contacts")),
-    "walk_order": (lambda s, d: contacts.walk_order(units(s, d)).withColumn("place", F.col("place").cast("bigint")), sql("SELECT building_id, door_id, row_number() OVER (PARTITION BY building_id ORDER BY CASE WHEN u = '' THEN 1 ELSE 0 END, coalesce(CASE WHEN u LIKE 'PH%' THEN 1000000 ELSE try_cast(regexp_extract(u, '([0-9]+)', 1) AS int) END, -1) DESC, regexp_extract(u, '([A-Z]*)$', 1), door_id) AS place FROM (SELECT person_h % 20 AS building_id, person_h AS door_id, CASE WHEN person_h % 9 = 0 THEN 'PH' WHEN person_h % 9 = 1 THEN '' ELSE cast(person_h % 12 AS string) || CASE person_h % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END END AS u FROM persons)", "persons")),
+    "walks_open_close": (walks, WALKS),
+    "walk_order": (lambda s, d: contacts.walk_order(units(s, d)).withColumn("place", F.col("place").cast("bigint")), UNITS),
     "next_building": (lambda s, d: contacts.next_building(frame(s, d, "persons").select(F.col("zip5").alias("turf_id"), F.col("building_i").alias("building_id"), F.col("city").alias("street"), (F.col("person_h") % 500).alias("number")).distinct()), sql("SELECT turf_id, building_id, coalesce(lead(building_id) OVER (PARTITION BY turf_id ORDER BY street, number, building_id), first_value(building_id) OVER (PARTITION BY turf_id ORDER BY street, number, building_id)) AS next_id FROM (SELECT DISTINCT zip5 AS turf_id, building_i AS building_id, city AS street, person_h % 500 AS number FROM persons)", "persons")),
 }
 QUERIES |= {n: q for n, (q, _) in MORE.items()}

@@ -9,7 +9,7 @@ FLOOR = 5
 TABLES = {
     "persons": """
         SELECT cast(c_custkey AS string) AS external_id, 'synthetic' AS external_id_type,
-               CASE c_custkey % 5 WHEN 0 THEN 'ANA' WHEN 1 THEN 'José' WHEN 2 THEN 'CARA' WHEN 3 THEN 'Dev' ELSE 'ÉLI' END AS first_name,
+               CASE c_custkey % 5 WHEN 0 THEN 'ANA' WHEN 1 THEN 'José' WHEN 2 THEN 'CARA' WHEN 3 THEN 'Šťastný' ELSE 'ÉLI' END AS first_name,
                nullif(CASE c_custkey % 3 WHEN 0 THEN 'M' ELSE '' END, '') AS middle_name, upper(c_name) AS last_name,
                cast(c_custkey % 500 AS string) || ' ' || upper(n_name) || ' ST' AS address_line_1,
                nullif(cast(c_custkey % 7 AS string), '0') AS address_line_2, n_name AS city, upper(substring(r_name, 1, 2)) AS state,
@@ -45,7 +45,8 @@ TABLES = {
                cast(user_id AS string) AS person_id, CASE WHEN event_type = 'click' THEN 'note' ELSE 'result' END AS kind,
                CASE WHEN event_type = 'click' THEN '{{"text":"hello"}}'
                     ELSE '{{"outcome":' || CASE event_type WHEN 'error' THEN 'null' WHEN 'purchase' THEN '"canvassed"' WHEN 'signup' THEN '"not_home"' ELSE '"moved"' END
-                         || ',"responses":{{"q1":{{"optionIds":["o' || cast(event_id % 3 AS string) || '","o' || cast(event_id % 5 AS string) || '"]}}}}}}' END AS payload,
+                         || ',"responses":' || CASE event_id % 4 WHEN 0 THEN '{{}}' WHEN 1 THEN '{{"q1":{{"optionIds":[]}},"q2":{{"text":" "}}}}'
+                              ELSE '{{"q1":{{"optionIds":["o' || cast(event_id % 3 AS string) || '","o' || cast(event_id % 5 AS string) || '"]}}}}' END || '}}' END AS payload,
                ts AS created_at
         FROM {events}""",
     "lines": """

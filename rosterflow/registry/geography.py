@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from ..functions import addressing as ad
 from ..functions import geo
 from ..functions.hashing import name_key, packed, person_hash
-from ..operators import geocode, importer, matching, publish, search, spatial, topology
-from .fixtures import frame, sql
+from ..operators import assembly, geocode, importer, matching, publish, search, spatial, topology
+from ..sources.stored import stored
+from .fixtures import FLOOR, frame, sql
 
 # the same pieces in DuckDB's SQL
 
@@ -85,7 +86,13 @@ def faces(s, d) -> DataFrame:
 
 
 def scored(s, d) -> DataFrame:
-    return matching.candidates(people(s, d), faces(s, d))
+    return matching.candidates(stored(people(s, d)), stored(faces(s, d)))
+
+
+def matched(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(people, faces, best segments), each written once: several steps read them."""
+    who, sides = stored(people(s, d)), stored(faces(s, d))
+    return who, sides, stored(matching.best_match(matching.candidates(who, sides)))
 
 
 def join_words(*names: str):
@@ -186,10 +193,10 @@ def blocks(s, d) -> DataFrame:
 
 def voters(s, d) -> DataFrame:
     p = frame(s, d, "persons")
-    return p.where("person_h % 100 < 60").select((F.col("person_h") % 100).cast("string").alias("block_geoid"), "precinct")
+    return p.select((F.col("person_h") % 60).cast("string").alias("block_geoid"), "precinct")
 
 
-BLOCKS = """voters AS (SELECT cast(person_h % 100 AS string) AS block_geoid, precinct AS key FROM persons WHERE person_h % 100 < 60 AND precinct IS NOT NULL),
+BLOCKS = """voters AS (SELECT cast(person_h % 60 AS string) AS block_geoid, precinct AS key FROM persons WHERE precinct IS NOT NULL),
  blocks AS (SELECT cast(s_suppkey AS string) AS block_geoid, ((s_suppkey * 37) % 101)::DOUBLE AS cx, ((s_suppkey * 53) % 97)::DOUBLE AS cy, s_suppkey % 9 AS land_area FROM supplier),
  won AS (SELECT block_geoid, key, count(*) AS voters FROM voters GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY block_geoid ORDER BY count(*) DESC, key) = 1)"""
 BACKFILL = """, known AS (SELECT b.block_geoid, cx, cy, key FROM blocks b JOIN won USING (block_geoid))
@@ -234,48 +241,113 @@ PARSED_SQL = "p AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if v is
 HISTORIES = f"WITH {PARSED_SQL} SELECT c_custkey AS id, count(e) FILTER (c_custkey % 13 <> 0) AS n, coalesce(string_agg(e, ';' ORDER BY o) FILTER (c_custkey % 13 <> 0), '') AS entries FROM customer CROSS JOIN (VALUES (0, 0), (1, 3), (2, 7)) x(o, s) JOIN p ON p.i = (c_custkey + s) % {len(ENTRIES)} GROUP BY 1"
 
 
+#: Streets across and up from each part's node, twenty to a row; some are busy and some are rails.
+GRID = """grid AS (SELECT p_partkey AS k, p_partkey % 20 AS i FROM {part}),
+ edges AS (SELECT 'h' || cast(k AS string) AS line, k AS a, k + 1 AS b, 0 AS dir, CASE k % 7 WHEN 0 THEN 'S1200' WHEN 4 THEN 'R1011' ELSE 'S1400' END AS code FROM grid WHERE i < 19
+  UNION ALL SELECT 'v' || cast(k AS string), k, k + 20, 90, CASE k % 5 WHEN 0 THEN 'S1200' WHEN 3 THEN 'S1640' ELSE 'S1400' END FROM grid)"""
+
+
 def grid_relations(s, d) -> DataFrame:
-    """A grid of streets with a rail line; every street side is addressed."""
-    n = 6
-    node = lambda i, j: f"n{i}_{j}"
-    at = lambda i, j: {"x": -73.99 + 0.001 * i, "y": 40.73 + 0.001 * j}
-    edges = []
-    for i in range(n):
-        for j in range(n):
-            for di, dj, code in ((1, 0, "S1400"), (0, 1, "S1200" if i % 3 == 0 else "R1011" if i == 4 else "S1400")):
-                if i + di < n and j + dj < n:
-                    edges.append((f"e{i}_{j}_{di}", code, node(i, j), node(i + di, j + dj), [at(i, j), at(i + di, j + dj)]))
-    frame_ = s.createDataFrame(edges, "tiger_line_id string, feature_class_code string, from_node_id string, to_node_id string, line array<struct<x: double, y: double>>")
-    sides = frame_.where("feature_class_code like 'S%'").select("tiger_line_id", F.explode(F.lit(["left", "right"])).alias("side")).withColumn("blockface_id", F.concat_ws(":", "tiger_line_id", "side"))
-    return topology.relationships(sides, frame_)
+    """Every street side of the grid is addressed."""
+    edges = s.sql(f"WITH {GRID} SELECT * FROM edges", part=s.read.parquet(f"{d}/part.parquet"))
+
+    def at(k):
+        return geo.point(-73.99 + 0.001 * (F.col(k) % 20), 40.73 + 0.001 * F.floor(F.col(k) / 20))
+
+    lines = edges.select(F.col("line").alias("tiger_line_id"), F.col("code").alias("feature_class_code"), F.col("a").cast("string").alias("from_node_id"), F.col("b").cast("string").alias("to_node_id"), F.array(at("a"), at("b")).alias("line"))
+    lines = stored(lines)
+    sides = lines.where("feature_class_code like 'S%'").select("tiger_line_id", F.explode(F.lit(["left", "right"])).alias("side")).withColumn("blockface_id", F.concat_ws(":", "tiger_line_id", "side"))
+    return topology.relationships(sides, lines).withColumns({c: F.array_join(c, ",") for c in ("crossed_line_ids", "crossed_classes")})
+
+
+RELATIONS = f"""WITH {GRID.format(part='part')},
+ costs AS (SELECT * FROM (VALUES ('S1400', 15, 1), ('S1200', 60, 2), ('S1640', 60, 2), ('R1011', 100000, 3)) c(code, m, rank)),
+ ends AS (SELECT a AS node, line, 'from' AS e, dir AS bearing, code FROM edges UNION ALL SELECT b, line, 'to', dir + 180, code FROM edges),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY bearing) - 1 AS i, count(*) OVER (PARTITION BY node) AS n FROM ends),
+ ring AS (SELECT node, list({{'line': line, 'code': code, 'm': m, 'rank': rank}} ORDER BY i) AS edges FROM placed JOIN costs USING (code) GROUP BY node),
+ corners AS (SELECT node, line, line || ':' || side AS face, bearing, n, 2 * i + CASE side WHEN 'right' THEN 1 ELSE 0 END AS place, CASE WHEN (e = 'from') = (side = 'left') THEN i ELSE (i - 1 + n) % n END AS w
+  FROM placed CROSS JOIN (VALUES ('left'), ('right')) s(side) WHERE code LIKE 'S%'),
+ pairs AS (SELECT x.node, x.face AS fa, y.face AS fb, abs((y.bearing - x.bearing + 180 + 360) % 360 - 180) AS apart, x.n,
+   list_transform(range(1, (y.w - x.w + x.n) % x.n + 1), lambda s: (x.w + s) % x.n) AS ccw, list_transform(range(0, (x.w - y.w + x.n) % x.n), lambda s: (x.w - s + x.n) % x.n) AS cw, edges
+  FROM corners x JOIN corners y ON x.node = y.node AND x.place < y.place AND (x.line <> y.line OR x.w = y.w) JOIN ring r ON r.node = x.node),
+ ways AS (SELECT *, list_transform(CASE WHEN (coalesce(list_sum(list_transform(ccw, lambda i: edges[i + 1].m)), 0), len(ccw)) <= (coalesce(list_sum(list_transform(cw, lambda i: edges[i + 1].m)), 0), len(cw)) THEN ccw ELSE cw END, lambda i: edges[i + 1]) AS way FROM pairs)
+ SELECT least(fa, fb) AS blockface_id_a, greatest(fa, fb) AS blockface_id_b, CASE len(way) WHEN 0 THEN 'hinge' WHEN 1 THEN CASE WHEN apart >= 135 THEN 'continue' ELSE 'turn' END WHEN 2 THEN 'kitty_corner' ELSE 'other' END AS kind, cast(node AS string) AS node_id,
+  array_to_string(list_transform(way, lambda e: e.line), ',') AS crossed_line_ids, array_to_string(list_transform(way, lambda e: e.code), ',') AS crossed_classes,
+  ['none', 'minor', 'major', 'barrier'][coalesce(list_max(list_transform(way, lambda e: e.rank)), 0) + 1] AS penalty_class, coalesce(list_sum(list_transform(way, lambda e: e.m)), 0)::DOUBLE AS crossing_cost_m FROM ways
+ UNION ALL SELECT line || ':left', line || ':right', 'across', NULL, line, code, ['none', 'minor', 'major', 'barrier'][rank + 1], m::DOUBLE FROM edges JOIN costs USING (code) WHERE code LIKE 'S%'"""
+
+
+def lines_of(sides: DataFrame) -> DataFrame:
+    n = F.crc32(F.col("blockface_id").cast("binary")) % 100
+    return sides.select("blockface_id").distinct().withColumn("line", F.array(geo.point(-74 + n * 0.001, F.lit(40.0) + n * 0.0001), geo.point(-73.998 + n * 0.001, F.lit(40.001) + n * 0.0001)))
 
 
 def full_positions(s, d) -> DataFrame:
-    best = matching.best_match(scored(s, d))
-    rows = geocode.with_buildings(geocode.keyed(best, people(s, d), faces(s, d)), geocode.building_lookup(addresses(s, d), squares(s)))
-    n = F.crc32(F.col("blockface_id").cast("binary")) % 100
-    lines = faces(s, d).select("blockface_id").distinct().withColumn("line", F.array(geo.point(-74 + n * 0.001, F.lit(40.0) + n * 0.0001), geo.point(-73.998 + n * 0.001, F.lit(40.001) + n * 0.0001)))
-    return geocode.refined_positions(rows, lines)
+    who, sides, best = matched(s, d)
+    rows = geocode.with_buildings(geocode.keyed(best, who, sides), geocode.building_lookup(addresses(s, d), squares(s)))
+    return geocode.refined_positions(stored(rows), lines_of(sides))
 
 
 def canonical(s, d) -> DataFrame:
-    best, who, known = matching.best_match(scored(s, d)), people(s, d), geocode.building_lookup(addresses(s, d))
-    rows = geocode.with_buildings(geocode.keyed(best, who, faces(s, d)), known)
+    who, sides, best = matched(s, d)
+    known = stored(geocode.building_lookup(addresses(s, d)))
+    rows = geocode.with_buildings(geocode.keyed(best, who, sides), known)
     only = geocode.only_by_building(who, best, known)
-    return geocode.canonical_addresses(rows, best, who, only).withColumn("matched_tokens", F.array_join("matched_tokens", " "))
+    return geocode.canonical_addresses(rows, best, who, only).withColumn("matched_tokens", F.array_join(F.array_sort("matched_tokens"), " "))
+
+
+#: People with their building or street's own spelling; buildings are looked up by the words of the segment, or by their own.
+CANONICAL = rf"""keyed AS (SELECT *, array_to_string(list_sort({expand(tokens(rewrite('street')))}), '|') AS canonical_key, {norm('housenumber')} AS housenumber_norm FROM addresses WHERE zip_code IS NOT NULL),
+ known AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY zip_code, canonical_key, housenumber_norm ORDER BY (kind = 'way') DESC, osm_id) = 1),
+ shown AS (SELECT *, {DISPLAY} AS own FROM people),
+ face AS (SELECT *, array_to_string(list_sort(street_tokens_lookup), '|') AS ck FROM faces QUALIFY row_number() OVER (PARTITION BY blockface_id, coalesce(house_num_prefix, '') ORDER BY from_house_num, to_house_num, zip_code) = 1),
+ placed AS (SELECT b.external_id, upper(coalesce(k.street, b.full_name)) AS street, k.housenumber FROM best b JOIN shown p USING (external_id) JOIN face f ON f.blockface_id = b.blockface_id AND coalesce(f.house_num_prefix, '') = coalesce(b.house_num_prefix, '')
+  LEFT JOIN known k ON k.zip_code = p.zip5 AND k.canonical_key = f.ck AND k.housenumber_norm = {norm('p.own')}),
+ rescued AS (SELECT p.external_id, upper(k.street) AS street, k.housenumber FROM shown p JOIN known k ON k.zip_code = p.zip5 AND k.canonical_key = array_to_string(list_sort({expand('p.street_name_tokens')}), '|') AND k.housenumber_norm = {norm('p.own')}
+  WHERE p.external_id NOT IN (SELECT external_id FROM best)),
+ lined AS (SELECT external_id, CASE WHEN n.housenumber IS NOT NULL AND {norm('n.housenumber')} = {norm('own')} THEN upper(n.housenumber) ELSE own END || ' ' || n.street AS address_line_1, lower(trim(n.street)) AS low
+  FROM (SELECT * FROM placed UNION ALL SELECT * FROM rescued) n JOIN shown USING (external_id))"""
 
 
 def snapped(s, d) -> DataFrame:
-    best, who = matching.best_match(scored(s, d)), people(s, d)
-    only = geocode.only_by_building(who, best, geocode.building_lookup(addresses(s, d)))
+    who, sides, best = matched(s, d)
+    only = stored(geocode.only_by_building(who, best, geocode.building_lookup(addresses(s, d))))
     n = F.crc32(F.col("blockface_id").cast("binary")) % 100
-    lines = faces(s, d).select("blockface_id", "zip_code").distinct().withColumn("line_m", geo.line_to_utm(F.array(geo.point(-74 + n * 0.001, F.lit(40.0)), geo.point(-73.998 + n * 0.001, F.lit(40.001)))))
+    lines = sides.select("blockface_id", "zip_code").distinct().withColumn("line_m", geo.line_to_utm(F.array(geo.point(-74 + n * 0.001, F.lit(40.0)), geo.point(-73.998 + n * 0.001, F.lit(40.001)))))
     return only.join(spatial.nearest_in_zip(only, lines), ["zip5", "latitude", "longitude"])
 
 
+def assembled(s, d) -> DataFrame:
+    """Every person with a place, made from the same steps as the single queries."""
+    who, sides, best = matched(s, d)
+    known = stored(geocode.building_lookup(addresses(s, d)))
+    rows = stored(geocode.with_buildings(geocode.keyed(best, who, sides), known))
+    only = geocode.only_by_building(who, best, known)
+    only = stored(only.join(spatial.nearest_in_zip(only, sides.select("blockface_id", "zip_code").distinct().withColumn("line_m", geo.line_to_utm(F.lit(None).cast("array<struct<x: double, y: double>>")))), ["zip5", "latitude", "longitude"], "left"))
+    refined = geocode.refined_positions(rows, lines_of(sides))
+    lines = geocode.canonical_addresses(rows, best, who, only)
+    persons = frame(s, d, "lines").withColumn("address_line_2", F.when(F.col("external_id").cast("int") % 3 > 0, F.concat(F.lit(" Num "), F.col("external_id").cast("int") % 4)))
+    history = frame(s, d, "history").groupBy("external_id").agg(F.collect_list(F.struct("year", "type")).alias("voting_history"))
+    out = assembly.persons_geocoded(persons.join(history, "external_id", "left"), best, lines, refined, only, FLOOR)
+    return out.select("external_id", "zip5", "address_line_1", "address_line_2", "building_id", "door_id", F.col("building_i").cast("bigint"), F.col("door_i").cast("bigint"), "person_h", F.col("match_score").cast("bigint"), "election_mask_0")
+
+
+ASSEMBLED = """registry AS (SELECT year, type FROM history GROUP BY year, type HAVING count(DISTINCT external_id) >= {floor}),
+ voters AS (SELECT year, type, h.external_id FROM history h JOIN lines USING (external_id)),
+ known_elections AS (SELECT year, type FROM voters GROUP BY 1, 2 HAVING count(DISTINCT external_id) >= {floor}),
+ bits AS (SELECT *, row_number() OVER (ORDER BY year DESC, type) - 1 AS bit FROM known_elections),
+ masks AS (SELECT external_id, bit_or(CASE WHEN bit < 64 THEN 1::UBIGINT << bit ELSE 0::UBIGINT END) AS m FROM voters JOIN bits USING (year, type) GROUP BY 1),
+ units AS (SELECT external_id, zip5, CASE WHEN cast(external_id AS int) % 3 > 0 THEN 'NUM ' || cast(cast(external_id AS int) % 4 AS string) END AS address_line_2, md5_number_lower(external_id) AS h FROM lines),
+ whole AS (SELECT external_id, zip5, address_line_1, address_line_2, address_line_1 || '|' || zip5 AS building_id, address_line_1 || '|' || coalesce(address_line_2, '') || '|' || zip5 AS door_id,
+  h, token_overlap + bonus AS match_score, coalesce(m, 0::UBIGINT) AS m FROM lined JOIN units USING (external_id) LEFT JOIN best USING (external_id) LEFT JOIN masks USING (external_id))
+ SELECT external_id, zip5, address_line_1, address_line_2, building_id, door_id, dense_rank() OVER (ORDER BY building_id) AS building_i, dense_rank() OVER (ORDER BY door_id) AS door_i,
+  CASE WHEN h >= 9223372036854775808 THEN h::HUGEINT - 18446744073709551616 ELSE h::HUGEINT END::BIGINT AS person_h, match_score,
+  CASE WHEN m >= 9223372036854775808 THEN m::HUGEINT - 18446744073709551616 ELSE m::HUGEINT END::BIGINT AS election_mask_0 FROM whole"""
+
+
 def geocoded(s, d) -> DataFrame:
     p = places(s, d)
-    source = F.element_at(F.lit(["osm_complex", "osm_matched", "osm_off_segment", "tiger_only", "osm_only"]), (F.col("person_h") % 5 + 1).cast("int"))
+    source = F.element_at(F.lit(["osm_complex", "osm_matched", "osm_off_segment", "tiger_only", "osm_only", None]), (F.col("person_h") % 6 + 1).cast("int"))
     return p.withColumn("position_source", source)
 
 
@@ -309,8 +381,9 @@ MORE = {
     "refined_positions_shove": (shoved, with_sql("", (P,), RANKS).rstrip() + ", " + SHOVE),
     "refined_positions_full": (full_positions, None),
     "osm_only_snap": (snapped, None),
-    "canonical_addresses": (canonical, None),
-    "geocoding_summary": (lambda s, d: geocode.summary(geocoded(s, d), geocoded(s, d).where("person_h % 7 <> 0")), with_sql("SELECT count(*) AS total, count(*) FILTER (m) AS matched, count(*) FILTER (NOT m) AS unmatched, round(100.0 * count(*) FILTER (m) / count(*), 2)::DOUBLE AS match_rate, count(*) FILTER (m AND k = 0) AS osm_complex, count(*) FILTER (m AND k = 1) AS osm_matched, count(*) FILTER (m AND k = 2) AS osm_off_segment, count(*) FILTER (m AND k = 3) AS tiger_only, count(*) FILTER (m AND k = 4) AS osm_only FROM (SELECT person_h % 7 <> 0 AS m, person_h % 5 AS k FROM places)", (P,), PLACES)),
+    "canonical_addresses": (canonical, f"WITH {ADDRESSES_SQL.format(part='part')}, " + with_sql("SELECT external_id, address_line_1, array_to_string(list_sort(list_distinct(list_filter(list_concat(regexp_split_to_array(low, '[^a-z0-9]+'), regexp_extract_all(low, '[0-9]+')), lambda t: length(t) > 0))), ' ') AS matched_tokens FROM lined", ("lines", "unpivoted"), PEOPLE, FACES, SCORED, BEST, CANONICAL).removeprefix("WITH ")),
+    "persons_geocoded": (assembled, f"WITH {ADDRESSES_SQL.format(part='part')}, " + with_sql("", ("lines", "unpivoted", "history"), PEOPLE, FACES, SCORED, BEST, CANONICAL).removeprefix("WITH ").rstrip() + ", " + ASSEMBLED.format(floor=FLOOR)),
+    "geocoding_summary": (lambda s, d: geocode.summary(geocoded(s, d), geocoded(s, d).where("position_source is not null")), with_sql("SELECT count(*) AS total, count(*) FILTER (m) AS matched, count(*) FILTER (NOT m) AS unmatched, round(100.0 * count(*) FILTER (m) / count(*), 2)::DOUBLE AS match_rate, count(*) FILTER (m AND k = 0) AS osm_complex, count(*) FILTER (m AND k = 1) AS osm_matched, count(*) FILTER (m AND k = 2) AS osm_off_segment, count(*) FILTER (m AND k = 3) AS tiger_only, count(*) FILTER (m AND k = 4) AS osm_only FROM (SELECT person_h % 6 <> 5 AS m, person_h % 6 AS k FROM places)", (P,), PLACES)),
     "buildings_geocoded": (lambda s, d: geocode.rollup(geocoded(s, d), "building_id").withColumns({c: F.round(c, 6) for c in ("latitude", "longitude")}), with_sql("SELECT building_id, zip5, min(address_line_1) AS address_line_1, round(avg(latitude), 6) AS latitude, round(avg(longitude), 6) AS longitude, count(DISTINCT door_i) AS door_count, count(*) AS person_count FROM places GROUP BY 1, 2", (P,), PLACES)),
     "doors_geocoded": (lambda s, d: geocode.rollup(geocoded(s, d), "door_id").select("door_id", "person_count"), with_sql("SELECT address_line_1 || '|' || coalesce(address_line_2, '') || '|' || zip5 AS door_id, count(*) AS person_count FROM places GROUP BY 1, zip5", (P,), PLACES)),
     "dense_building_ids": (lambda s, d: spatial.dense_ids(frame(s, d, P).select("external_id", F.when(F.col("person_h") % 8 > 0, F.col("building_id")).alias("b")), "b", "i").select("external_id", F.col("i").cast("bigint")), sql("SELECT external_id, CASE WHEN b IS NOT NULL THEN dense_rank() OVER (ORDER BY b NULLS LAST) END AS i FROM (SELECT external_id, CASE WHEN person_h % 8 > 0 THEN building_id END AS b FROM persons)", P)),
@@ -321,7 +394,7 @@ MORE = {
     "publish_ambiguous": (lambda s, d: publish.ambiguous(found(s, d)), with_sql("SELECT building_id, count(*) AS drafts FROM hits GROUP BY 1 HAVING count(*) >= 2", (P,), PLACES, SQUARES_SQL, HITS)),
     "publish_empty": (lambda s, d: publish.empty(found(s, d), squares(s)), with_sql("SELECT turf_draft_id FROM squares WHERE turf_draft_id NOT IN (SELECT turf_draft_id FROM hits)", (P,), PLACES, SQUARES_SQL, HITS)),
     "publish_payload": (lambda s, d: publish.payloads(places(s, d), found(s, d), squares(s)).select(F.col("idx").cast("bigint"), "name", *[F.col(c).cast("bigint") for c in ("building_count", "door_count", "person_count")]), with_sql("SELECT idx, 'Turf ' || cast(idx + 1 AS string) AS name, count(DISTINCT building_id) AS building_count, count(DISTINCT door) AS door_count, count(external_id) AS person_count FROM drafts LEFT JOIN (SELECT external_id, building_id, address_line_1 || coalesce(address_line_2, '') || zip5 AS door, (SELECT min(h.idx) FROM hits h WHERE h.building_id = p.building_id) AS idx FROM places p) USING (idx) GROUP BY 1", (P,), PLACES, SQUARES_SQL, HITS)),
-    "blockface_relationships": (grid_relations, None),
+    "blockface_relationships": (grid_relations, RELATIONS),
     "nys_transform": (lambda s, d: importer.canonical(raw_roster(s, d)).select("external_id", "address_line_1", "address_line_2", "half_code", "enrollment", "date_of_birth", "registration_status", "precinct"), NYS),
     "parse_voting_history": (histories, HISTORIES),
     "persons_search": (search_page, sql("SELECT external_id, last_name, first_name FROM persons WHERE len(list_filter(regexp_split_to_array(lower(last_name), '[^a-z0-9]+'), lambda w: starts_with(w, 'customer'))) > 0 AND len(list_filter(regexp_split_to_array(lower(last_name), '[^a-z0-9]+'), lambda w: starts_with(w, '0000'))) > 0 AND lower(first_name) LIKE 'an%' ORDER BY rpad(substr(strip_accents(upper(last_name || ' ' || first_name)), 1, 16), 16, ' '), external_id LIMIT 25 OFFSET 5", P)),

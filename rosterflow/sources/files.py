@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 #: The columns of the headerless roster file, in order.
-ROSTER_COLUMNS = (
-    "last_name first_name middle_name name_suffix res_house_number res_half_code res_pre_direction res_street_name res_post_direction "
-    "res_apartment_type res_apartment res_nonstandard_format res_city res_zip5 res_zip4 mail_address_1 mail_address_2 mail_address_3 mail_address_4 "
-    "date_of_birth gender enrollment other_party county_code election_district legislative_district town_city ward congressional_district "
-    "senate_district assembly_district last_voted_date prev_year_voted prev_county prev_address prev_name county_vr_number registration_date "
-    "registration_source id_required id_met status reason_code inactive_date purge_date sboe_id voter_history"
-).split()
+ROSTER_COLUMNS = [
+    "last_name", "first_name", "middle_name", "name_suffix", "res_house_number", "res_half_code", "res_pre_direction", "res_street_name",
+    "res_post_direction", "res_apartment_type", "res_apartment", "res_addr_non_standard", "res_city", "res_zip5", "res_zip4",
+    "mail_addr_1", "mail_addr_2", "mail_addr_3", "mail_addr_4", "date_of_birth", "gender", "enrollment", "other_party", "county_code",
+    "election_district", "legislative_district", "town_city", "ward", "congressional_district", "senate_district", "assembly_district",
+    "last_voted_date", "prev_year_voted", "prev_county", "prev_address", "prev_name", "county_vr_number", "registration_date", "vr_source",
+    "id_required", "id_met", "status", "reason_code", "inactive_date", "purge_date", "sboe_id", "voter_history",
+]
 
 
 def cleaned(column: Column) -> Column:
@@ -38,18 +39,32 @@ def roster(spark: SparkSession, path: str) -> DataFrame:
 
 def upload(spark: SparkSession, path: str) -> DataFrame:
     """An upload by its first bytes: Parquet, or else CSV with a header, all strings."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4)).first()[0]
-    if bytes(head) == b"PAR1":
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getFileStatus(at).isDirectory():
+        return spark.read.parquet(path)
+    stream = system.open(at)
+    try:
+        # four reads of a byte, so no more of the file comes to the driver
+        head = [stream.read() for _ in range(4)]
+    finally:
+        stream.close()
+    if head == list(b"PAR1"):
         return spark.read.parquet(path)
     return spark.read.option("header", True).option("inferSchema", False).csv(path)
 
 
 def geojson_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """key, name, ring (array of x, y) of the features of a collection; outer rings of polygons."""
-    shape = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
+    """key, name, ring (array of x, y) of the features of a collection: the outer ring of a polygon, and of each part of a multipolygon."""
+    shape = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
     rows = spark.read.option("multiLine", True).schema(shape).json(path).select(F.explode("features").alias("f"))
-    ring = F.transform(F.get("f.geometry.coordinates", F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
-    return rows.where("f.geometry.type = 'Polygon'").select(F.try_element_at("f.properties", F.lit("key")).alias("key"), F.try_element_at("f.properties", F.lit("name")).alias("name"), ring.alias("ring")).where("key is not null")
+    line = "array<array<array<double>>>"
+    one, many = F.from_json("f.geometry.coordinates", line), F.from_json("f.geometry.coordinates", f"array<{line}>")
+    parts = F.when(F.col("f.geometry.type") == "Polygon", F.array(one)).when(F.col("f.geometry.type") == "MultiPolygon", many)
+    named = rows.select(F.try_element_at("f.properties", F.lit("key")).alias("key"), F.try_element_at("f.properties", F.lit("name")).alias("name"), F.explode(parts).alias("part"))
+    ring = F.transform(F.get("part", F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+    return named.select("key", "name", ring.alias("ring")).where("key is not null")
 
 
 def map_addresses(elements: DataFrame, centres: DataFrame) -> DataFrame:

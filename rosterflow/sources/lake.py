@@ -23,7 +23,22 @@ class Lake:
     root: str
 
     def path(self, version: str, name: str) -> str:
-        return f"{self.root}/{version}/{name}"
+        """Where the table's files are: the folder that its pointer names."""
+        fs, pointer = self._fs(self._pointer(version, name))
+        if not fs.exists(pointer):
+            return f"{self.root}/{version}/{name}"
+        return f"{self.root}/{version}/{name}/{json.loads(self._text(self._pointer(version, name)))['files']}"
+
+    def _pointer(self, version: str, name: str) -> str:
+        return f"{self.root}/{version}/{name}.current"
+
+    def _text(self, path: str) -> str:
+        fs, p = self._fs(path)
+        stream = fs.open(p)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -38,19 +53,35 @@ class Lake:
 
     def tables(self, version: str) -> list[str]:
         fs, p = self._fs(f"{self.root}/{version}")
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+    def columns(self, version: str, name: str) -> list[tuple[str, str]]:
+        """(name, type) of the table's columns, in order."""
+        return [(f.name, f.dataType.simpleString()) for f in self.read(version, name).schema]
+
+    def rename(self, version: str, name: str, to: str) -> None:
+        """The table under another name; its pointer moves last."""
+        files = self.path(version, name).rsplit("/", 1)[1]
+        fs, old = self._fs(f"{self.root}/{version}/{name}")
+        _, new = self._fs(f"{self.root}/{version}/{to}")
+        if fs.exists(new) or not fs.rename(old, new):
+            raise OSError(f"{name} could not become {to}")
+        self._put(f"{version}/{to}.current", {"files": files})
+        fs.delete(self._fs(self._pointer(version, name))[1], False)
 
     def replace(self, version: str, name: str, rows: DataFrame) -> DataFrame:
-        """Writes next to the table and then swaps, so ``rows`` may read the table they replace."""
-        target = self.path(version, name)
-        fresh = f"{self.root}/{version}/.{name}-{uuid.uuid4().hex}"
-        rows.write.parquet(fresh)
-        fs, old = self._fs(target)
-        _, new = self._fs(fresh)
-        fs.delete(old, True)
-        if not fs.rename(new, old):
-            raise OSError(f"{fresh} could not become {target}")
-        self.spark.catalog.refreshByPath(target)
+        """Writes to a fresh folder and then points to it, so ``rows`` may read the table they replace and a failure leaves it as it was.
+
+        The folder before stays for those who still read it, until the next replacement.
+        """
+        fresh = f"files-{uuid.uuid4().hex}"
+        fs, home = self._fs(f"{self.root}/{version}/{name}")
+        current = self.path(version, name).rsplit("/", 1)[1]
+        rows.write.parquet(f"{self.root}/{version}/{name}/{fresh}")
+        self._put(f"{version}/{name}.current", {"files": fresh})
+        for s in fs.listStatus(home):
+            if s.getPath().getName() not in (fresh, current):
+                fs.delete(s.getPath(), True)
         return self.read(version, name)
 
     def insert_missing(self, version: str, name: str, rows: DataFrame, key: str) -> DataFrame:
@@ -80,13 +111,13 @@ class Lake:
         fs, p = self._fs(f"{self.root}/active.json")
         if not fs.exists(p):
             return None
-        return json.loads(self.spark.read.text(str(p)).first()[0])["version"]
+        return json.loads(self._text(str(p)))["version"]
 
     def activate(self, version: str) -> None:
         self._put("active.json", {"version": version})
 
     def facts(self, version: str, name: str) -> dict:
-        return json.loads(self.spark.read.text(f"{self.root}/{version}/{name}.json").first()[0])
+        return json.loads(self._text(f"{self.root}/{version}/{name}.json"))
 
     def _put(self, name: str, value: dict) -> None:
         fs, p = self._fs(f"{self.root}/{name}")

@@ -24,6 +24,9 @@ def test_lake_writes_swaps_and_finds(spark, tmp_path):
     lake.activate("nyc_v2")
     assert lake.active() == "nyc_v2" and "persons_geocoded" in lake.tables("nyc_v1")
     assert warm(lake.read("nyc_v1", "persons_geocoded")) == 1
+    assert lake.columns("nyc_v1", "persons_geocoded") == [("external_id", "bigint"), ("zip5", "string")]
+    lake.rename("nyc_v1", "persons_geocoded", "people")
+    assert lake.read("nyc_v1", "people").count() == 10 and lake.tables("nyc_v1") == ["people"]
     lake.drop("nyc_v1")
     assert lake.tables("nyc_v1") == []
     assert export(rows, f"{tmp_path}/out.csv") == export(rows, f"{tmp_path}/out.parquet", "parquet") == 100

@@ -12,8 +12,14 @@ CROSS = [(0.0, "E", "from", "S1400"), (90.0, "N", "from", "S1400"), (180.0, "W",
 SIDES = {(line, side): f"{line}:{side}" for line in "ENWS" for side in ("left", "right")}
 
 
-def test_four_corners():
-    rows = {(r[0], r[1]): r for r in topology.relate("n", CROSS, SIDES)}
+def relate(spark, ends):
+    listed = spark.createDataFrame([("n", line, end, bearing, code) for bearing, line, end, code in ends], "node_id string, tiger_line_id string, end string, bearing double, feature_class_code string")
+    faces = spark.createDataFrame([(line, side, face) for (line, side), face in SIDES.items()], "tiger_line_id string, side string, blockface_id string")
+    return {(r[0], r[1]): tuple(r) for r in topology.at_nodes(listed, faces).collect()}
+
+
+def test_four_corners(spark):
+    rows = relate(spark, CROSS)
     # each corner joins two sides; the western line is drawn towards the node
     assert rows["E:left", "N:right"][2] == "hinge" and rows["N:left", "W:left"][2] == "hinge"
     assert rows["E:left", "W:left"][2:6] == ("continue", "n", ["N"], ["S1400"])
@@ -21,17 +27,16 @@ def test_four_corners():
     assert sum(r[2] == "hinge" for r in rows.values()) == 4 and ("E:left", "E:right") not in rows
 
 
-def test_cheaper_way_and_dead_end():
+def test_cheaper_way_and_dead_end(spark):
     busy = [(b, x, e, "S1200" if x == "N" else c) for b, x, e, c in CROSS]
-    rows = {(r[0], r[1]): r for r in topology.relate("n", busy, SIDES)}
     # three quiet streets are cheaper than one busy street
-    assert rows["E:left", "W:left"][2:] == ("other", "n", ["E", "S", "W"], ["S1400"] * 3, "minor", 45.0)
+    assert relate(spark, busy)["E:left", "W:left"][2:] == ("other", "n", ["E", "S", "W"], ["S1400"] * 3, "minor", 45.0)
     wall = [(b, x, e, "R1011" if x == "N" else c) for b, x, e, c in CROSS]
-    rows = {(r[0], r[1]): r for r in topology.relate("n", wall, SIDES)}
-    assert rows["E:left", "W:left"][7] == 45.0
-    (only,) = topology.relate("n", [(10.0, "E", "to", None)], SIDES)
+    assert relate(spark, wall)["E:left", "W:left"][7] == 45.0
+    (only,) = relate(spark, [(10.0, "E", "to", None)]).values()
     assert only[2:] == ("hinge", "n", [], [], "none", 0.0)
-    assert topology.penalty("H2030") == ("barrier", topology.BARRIER) and topology.penalty("S9999") == ("major", 60.0)
+    codes = spark.createDataFrame([("H2030",), ("S9999",), (None,)], "c string")
+    assert [tuple(r.w) for r in codes.select(topology.worth(F.col("c")).alias("w")).collect()] == [(3, topology.BARRIER), (2, 60.0), (2, 60.0)]
 
 
 def test_utm_round_trip_and_lines(spark):
@@ -61,12 +66,20 @@ def test_position_branches(spark):
     assert abs(got["matched"].longitude + 74.0) < 1e-4 and 40.75005 < got["matched"].latitude < 40.75008
 
 
-def test_polygons_by_cell_and_by_broadcast(spark, monkeypatch):
+def test_polygons_by_cells_of_any_width(spark):
     squares = spark.createDataFrame([(i, [{"x": float(i), "y": 0.0}, {"x": i + 1.5, "y": 0.0}, {"x": i + 1.5, "y": 1.0}, {"x": float(i), "y": 1.0}, {"x": float(i), "y": 0.0}]) for i in range(20)], "k long, ring array<struct<x: double, y: double>>")
     points = spark.range(400).select(F.col("id"), (F.col("id") * 0.05 + 0.01).alias("x"), F.lit(0.5).alias("y"))
-    whole = sorted((r.id, r.k) for r in spatial.containing(points, squares).collect())
-    monkeypatch.setattr(spatial, "BROADCAST_BYTES", 0)
-    assert sorted((r.id, r.k) for r in spatial.containing(points, squares).collect()) == whole and len(whole) > 400
+    want = sorted((i, k) for i in range(400) for k in range(20) if k < i * 0.05 + 0.01 < k + 1.5)
+    for cell in (None, 0.3, 50.0):
+        assert sorted((r.id, r.k) for r in spatial.containing(points, squares, cell=cell).collect()) == want
+
+
+def test_dense_ids_over_ranges(spark, monkeypatch):
+    rows = spark.range(3000).select(F.when(F.col("id") % 10 > 0, F.concat(F.lit("s"), F.col("id") % 700)).alias("s"))
+    want = {s: i + 1 for i, s in enumerate(sorted({f"s{i % 700}" for i in range(3000) if i % 10 > 0}))} | {None: None}
+    for n in (500_000, 50):
+        monkeypatch.setattr(spatial, "NUMBERED", n)
+        assert {r.s: r.i for r in spatial.dense_ids(rows, "s", "i").collect()} == want
 
 
 def test_nearest_line_of_the_zip(spark):
@@ -152,3 +165,39 @@ def test_steps_fold_like_sql(spark, verbs):
         text = (f"NOT {c}" if v == "r" else c) if text is None else f"({text}) {'OR' if v == 'a' else 'AND'} {'NOT ' if v == 'r' else ''}{c}"
     got = fold([(names[v], F.col(c)) for v, c in zip(verbs, columns)])
     assert sorted(map(str, df.where(got).collect())) == sorted(map(str, df.where(text).collect()))
+
+
+def test_walks_one_after_the_other(spark):
+    from datetime import datetime, timedelta
+
+    from rosterflow.operators import contacts
+
+    t0 = datetime(2026, 1, 5, 8)
+    rows = [("o", "t1", "1", 4 * k) for k in range(6)] + [("o", "t1", "2", 0), ("o", "t2", "2", 1), ("o", "t1", "2", 2), ("o", "t1", None, 0), ("o", "t1", None, 1), ("o", "t1", "3", 0), ("o", "t1", "3", 2), ("p", "t9", "3", 1)]
+    opens = spark.createDataFrame([(o, t, p, t0 + timedelta(hours=h)) for o, t, p, h in rows], "organization_id string, turf_id string, phone string, opened_at timestamp")
+
+    def got(closes=None):
+        found = contacts.opened_walks(opens, closes).collect()
+        hours = lambda x: None if x is None else (x - t0).total_seconds() / 3600
+        return sorted((r.phone or "", r.turf_id, hours(r.opened_at), hours(r.closed_at)) for r in found)
+
+    want = [("", "t1", 0, None), ("", "t1", 1, None), ("1", "t1", 0, 8), ("1", "t1", 8, 16), ("1", "t1", 16, None), ("2", "t1", 0, 1), ("2", "t1", 2, None), ("2", "t2", 1, 2), ("3", "t1", 0, None), ("3", "t9", 1, None)]
+    assert got() == sorted(want, key=lambda r: (r[0], r[1], r[2]))
+    closes = spark.createDataFrame([("o", "t1", "3", t0 + timedelta(hours=1)), ("o", "t5", "1", t0)], "organization_id string, turf_id string, phone string, closed_at timestamp")
+    assert [r for r in got(closes) if r[0] in "13" and r[0]] == [("1", "t1", 0, 8), ("1", "t1", 8, 16), ("1", "t1", 16, None), ("3", "t1", 0, 1), ("3", "t1", 2, None), ("3", "t9", 1, None)]
+
+
+def test_doors_in_walking_order(spark):
+    from rosterflow.operators import contacts
+
+    units = ["PH", "APT PH1", "12AA", "Unit 12 B", "5-2", "5-10", "apt 5B", "# 3", "2", "B12", "Suite C2", ""]
+    doors = spark.createDataFrame([(1, len(units) - i, u) for i, u in enumerate(units)], "building_id int, door_id int, unit string")
+    placed = {r.door_id: r.place for r in contacts.walk_order(doors).collect()}
+    assert [placed[len(units) - i] for i in range(len(units))] == list(range(1, len(units) + 1))
+
+
+def test_sort_keys_have_no_accents(spark):
+    from rosterflow.functions.hashing import name_key
+
+    rows = spark.createDataFrame([("Šťastný", "Ørsted"), ("Núñez", "e\u0301lan"), ("Ångström", "Łuk")], "a string, b string")
+    assert [r[0] for r in rows.select(name_key(F.col("a"), F.col("b"))).collect()] == ["STASTNY ØRSTED  ", "NUNEZ ELAN      ", "ANGSTROM ŁUK    "]
