@@ -9,13 +9,17 @@ bias, and scores are normalised over all classes. Within a shared class a word
 has its share of the class's counts, plus one.
 
 Everything gathered covers all training documents: the count of every word,
-and how often each class follows each class at a distance of one and two. In
-those counts the objective of noise-contrastive estimation (data against
-unigram noise) is a sum over pairs of classes, so its gradient is exact and is
-made of matrix products. The weights of both distances are those with the best
-sum of log scores over all training tokens, which is made of the same counts.
-Products of all contexts and classes are tabulated
-once, and scoring a token is a lookup.
+how often each class follows each class at a distance of one and two, and then
+every token with both classes before it. Training starts on the counts, in
+which the objective of noise-contrastive estimation (data against unigram
+noise) is a sum over pairs of classes, made of matrix products; there the
+distances are apart, and the weights that give all training tokens the best
+sum of log scores bring them together. Then every partition goes through its
+own tokens once, with the summed context and noise classes drawn from the
+unigram counts, and the models of all partitions are averaged by their tokens.
+Products of all contexts and classes are tabulated once, and scoring a token
+is a lookup. The number of classes is a constant: what grows with the corpus
+is what is counted and trained on, not the model.
 
 The most frequent words (a constant number of at most 64 bytes each) travel to
 the executors; all other words meet their counts in a join.
@@ -38,6 +42,8 @@ from pyspark.sql import functions as F
 from .workspace import Workspace, held_out, table
 
 CLASSES, SHARED, WIDTH = 512, 128, 24
+#: Tokens of a step, and noise classes that are drawn for it.
+STEP, DRAWN = 8192, 32
 FREQUENT, FREQUENT_BYTES = 262_144, 64
 NOISE = 8
 #: No word holds white space, so a line feed can stand for the end of a text.
@@ -143,22 +149,108 @@ def contexts(pairs: np.ndarray) -> np.ndarray:
     return out
 
 
-def mixed(q: np.ndarray, r: np.ndarray, b: np.ndarray, pairs: np.ndarray) -> dict[str, np.ndarray]:
-    """Tables of natural log scores, with the weights of both distances that give all tokens counted in ``pairs`` the best sum."""
+def mixed(q: np.ndarray, r: np.ndarray, b: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The context vectors of both distances, by the weights that give all tokens counted in ``pairs`` the best sum of log scores."""
     one, two = q[0] @ r.T, q[1] @ r.T
-    some = bool(pairs.size and pairs.sum())
-    if some:
-        # a sum of log scores over tokens needs pairs of classes only
-        before, of_one, of_two, of_bias = contexts(pairs), (pairs[0] * one).sum(), (pairs[1] * two).sum(), pairs[0].sum(0) @ b
+    if not pairs.size or not pairs.sum():
+        return q
+    # a sum of log scores over tokens needs pairs of classes only
+    before, of_one, of_two, of_bias = contexts(pairs), (pairs[0] * one).sum(), (pairs[1] * two).sum(), pairs[0].sum(0) @ b
     best = None
     for w1 in (0.4, 0.6, 0.8, 1.0):
         for w2 in (0.0, 0.2, 0.4, 0.6, 0.8):
-            norms = log_norms(w1 * one, w2 * two, b)
-            fit = w1 * of_one + w2 * of_two + of_bias - (before * norms.T).sum() if some else -abs(w1 - 0.8) - abs(w2 - 0.4)
+            fit = w1 * of_one + w2 * of_two + of_bias - (before * log_norms(w1 * one, w2 * two, b).T).sum()
             if best is None or fit > best[0]:
-                best = fit, w1, w2, norms
-    _, w1, w2, norms = best
-    return {"one": (w1 * one).astype(np.float32), "two": (w2 * two).astype(np.float32), "bias": b.astype(np.float32), "norms": norms.astype(np.float32)}
+                best = fit, w1, w2
+    return np.stack([best[1] * q[0], best[2] * q[1]])
+
+
+def scattered(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """(CLASSES, WIDTH): sums of ``values`` by the classes in ``rows``."""
+    out = np.zeros((CLASSES, values.shape[1]), values.dtype)
+    order = np.argsort(rows, kind="stable")
+    first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    out[rows[order[first]]] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
+class Trainer:
+    """Adagrad on the noise-contrastive objective of tokens with the summed context of two classes before."""
+
+    def __init__(self, q: np.ndarray, r: np.ndarray, b: np.ndarray, noise: np.ndarray, seed: int, rate: float = 0.02):
+        self.p = {k: v.astype(np.float32) for k, v in (("q1", q[0]), ("q2", q[1]), ("r", r), ("b", b))}
+        self.squares = {k: np.full_like(v, 1e-3) for k, v in self.p.items()}
+        self.noise, self.log_noise, self.rate = noise, np.log(NOISE * noise).astype(np.float32), np.float32(rate)
+        self.rng, self.tokens = np.random.default_rng(seed), 0
+
+    def step(self, t2: np.ndarray, t1: np.ndarray, t0: np.ndarray) -> None:
+        p, n = self.p, len(t0)
+        drawn = self.rng.choice(CLASSES, DRAWN, p=self.noise)
+        context = p["q1"][t1] + p["q2"][t2]
+        own = p["r"][t0]
+        real = np.einsum("bw,bw->b", context, own) + p["b"][t0] - self.log_noise[t0]
+        false = context @ p["r"][drawn].T + (p["b"] - self.log_noise)[drawn]
+        # gradients of -log s(real) - NOISE x mean of log(1 - s(false)), by scores
+        g_real = -1 / (1 + np.exp(np.clip(real, -50, 50)))
+        g_false = np.float32(NOISE / DRAWN) / (1 + np.exp(-np.clip(false, -50, 50)))
+        g_context = g_real[:, None] * own + g_false @ p["r"][drawn]
+        spread = np.zeros((CLASSES, WIDTH), np.float32)
+        np.add.at(spread, drawn, g_false.T @ context)
+        grads = {
+            "q1": scattered(t1, g_context), "q2": scattered(t2, g_context), "r": scattered(t0, g_real[:, None] * context) + spread,
+            "b": np.bincount(t0, g_real, CLASSES) + np.bincount(drawn, g_false.sum(0), CLASSES),
+        }
+        for k, g in grads.items():
+            g = (g / n).astype(np.float32)
+            self.squares[k] += g * g
+            p[k] -= self.rate * g / np.sqrt(self.squares[k])
+        self.tokens += n
+
+
+def refined(docs: DataFrame, vocabulary, q: np.ndarray, r: np.ndarray, b: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The model after every partition of ``docs`` has trained it on all its tokens, averaged by their numbers."""
+    start = docs.sparkSession.sparkContext.broadcast((q, r, b, share / share.sum()))
+    names = ("q1", "q2", "r", "b")
+    sizes = [CLASSES * WIDTH] * 3 + [CLASSES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ClassOf(vocabulary.value)
+        trainer = Trainer(*start.value, seed=TaskContext.get().partitionId())
+        held: list[np.ndarray] = []
+        waiting = 0
+        for batch in batches:
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                words = tokens_of(text)
+                line = np.empty(len(words) + 3, np.int64)
+                line[[0, 1, -1]] = SHARED
+                line[2:-1] = np.fromiter(map(own.__getitem__, words), np.int64, len(words))
+                held.append(np.stack([line[:-2], line[1:-1], line[2:]]))
+                waiting += len(words) + 1
+                if waiting >= STEP:
+                    some = np.concatenate(held, 1)
+                    for k in range(0, waiting, STEP):
+                        trainer.step(*some[:, k : k + STEP])
+                    held, waiting = [], 0
+        if held:
+            trainer.step(*np.concatenate(held, 1))
+        if trainer.tokens:
+            flat = np.concatenate([trainer.p[k].ravel() for k in names]).astype(np.float64) * trainer.tokens
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat))), pa.array(np.concatenate([[float(trainer.tokens)], flat]))], ["cell", "x"])
+
+    # as many rows as the model has numbers
+    summed = docs.select("text").mapInArrow(run, "cell bigint, x double").groupBy("cell").agg(F.sum("x").alias("x")).toArrow()
+    cells = np.zeros(sum(sizes) + 1)
+    cells[summed["cell"].to_numpy() + 1] = summed["x"].to_numpy()
+    if not cells[0]:
+        return q, r, b
+    parts = np.split(cells[1:] / cells[0], np.cumsum(sizes)[:-1])
+    return np.stack([parts[0], parts[1]]).reshape(2, CLASSES, WIDTH), parts[2].reshape(CLASSES, WIDTH), parts[3]
+
+
+def tabulated(q: np.ndarray, r: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+    """Tables of natural log scores: of a class after each class at both distances, and their norms for each two classes before."""
+    one, two = q[0] @ r.T, q[1] @ r.T
+    return {"one": one.astype(np.float32), "two": two.astype(np.float32), "bias": b.astype(np.float32), "norms": log_norms(one, two, b).astype(np.float32)}
 
 
 def frequent_words(counts: DataFrame) -> tuple[list[bytes], list[bytes], np.ndarray]:
@@ -198,7 +290,8 @@ def score(docs: DataFrame, train_on=None) -> DataFrame:
     vocabulary = {END: SHARED} | {w: SHARED + 1 + i for i, w in enumerate(own)}
     shared_vocabulary = spark.sparkContext.broadcast(vocabulary)
     pairs = class_pairs(training, shared_vocabulary)
-    tables = mixed(*train(pairs), pairs)
+    q, r, b = train(pairs)
+    tables = tabulated(*refined(training, shared_vocabulary, mixed(q, r, b, pairs), r, b, pairs[0].sum(0) + 0.5))
     tail = F.when(F.octet_length("word") <= 2, F.col("word")).otherwise(F.substring("word", F.octet_length("word") - 1, F.lit(2)))
     masses = counts.groupBy((F.crc32(tail) % SHARED).alias("k")).agg(F.sum(F.col("c") + 1).alias("mass")).collect()
     mass = np.ones(CLASSES)

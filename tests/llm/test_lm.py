@@ -40,7 +40,7 @@ def test_query_against_counts_whatever_travels(spark, sf, monkeypatch):
 def test_class_probabilities_add_up():
     rng = np.random.default_rng(1)
     pairs = rng.poisson(rng.random((2, 1, lm.CLASSES)) * 3, (2, lm.CLASSES, lm.CLASSES)).astype(float)
-    t = lm.mixed(*lm.train(pairs, steps=20), np.empty((3, 0), np.int64))
+    t = lm.tabulated(*lm.train(pairs, steps=20))
     for a, b in ((0, 0), (5, 200), (511, 128)):
         total = np.exp(t["one"][a].astype(float) + t["two"][b] + t["bias"] - t["norms"][a, b]).sum()
         assert math.isclose(total, 1, rel_tol=1e-4)
@@ -73,7 +73,41 @@ def test_weights_suit_all_training_texts(spark):
             fits[w1, w2] = (one[t1, t0] + two[t2, t0] + b[t0] - lm.log_norms(one, two, b)[t1, t2]).sum()
     w1, w2 = max(fits, key=fits.get)
     got = lm.mixed(q, r, b, pairs)
-    assert np.allclose(got["one"], w1 * (q[0] @ r.T), atol=1e-4) and np.allclose(got["two"], w2 * (q[1] @ r.T), atol=1e-4)
+    assert np.allclose(got[0], w1 * q[0]) and np.allclose(got[1], w2 * q[1])
+
+
+def test_steps_follow_the_gradient():
+    rng = np.random.default_rng(4)
+    q, r, b = rng.normal(0, 0.1, (2, lm.CLASSES, lm.WIDTH)), rng.normal(0, 0.1, (lm.CLASSES, lm.WIDTH)), np.full(lm.CLASSES, -6.0)
+    noise = np.full(lm.CLASSES, 1 / lm.CLASSES)
+    # what follows depends on both classes before, which neither tells alone
+    t2, t1 = rng.integers(0, 2, (2, 400_000))
+    t0 = 10 + 2 * t2 + t1
+    trainer = lm.Trainer(q, r, b, noise, seed=1, rate=0.2)
+    for k in range(0, len(t0), 1000):
+        trainer.step(t2[k : k + 1000], t1[k : k + 1000], t0[k : k + 1000])
+    assert trainer.tokens == len(t0)
+    p = trainer.p
+    for a in (0, 1):
+        for c in (0, 1):
+            scores = (p["q1"][c] + p["q2"][a]) @ p["r"].T + p["b"]
+            assert scores.argmax() == 10 + 2 * a + c
+
+
+def test_all_partitions_train_and_are_averaged(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = {lm.END: lm.SHARED} | {f"w{i}".encode(): lm.SHARED + 1 + i for i in range(20)}
+    docs = spark.createDataFrame([(" ".join(f"w{i}" for i in rng.integers(0, 20, 50)),) for _ in range(40)], "text string").repartition(3)
+    shared = spark.sparkContext.broadcast(vocabulary)
+    pairs = lm.class_pairs(docs, shared)
+    q, r, b = lm.train(pairs, steps=30)
+    share = pairs[0].sum(0) + 0.5
+    got = lm.refined(docs, shared, q, r, b, share)
+    assert [x.shape for x in got] == [q.shape, r.shape, b.shape] and not np.allclose(got[0], q)
+    same = lm.refined(docs, shared, q, r, b, share)
+    assert all(np.allclose(x, y) for x, y in zip(got, same))
+    none = lm.refined(docs.limit(0), shared, q, r, b, share)
+    assert all(np.allclose(x, y) for x, y in zip(none, (q, r, b)))
 
 
 def test_odd_rows(odd, none):
