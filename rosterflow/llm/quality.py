@@ -25,8 +25,8 @@ from .workspace import held_out, table
 
 BLOCK, LAGS, EMBED, FILTERS = 8, 24, 4, 16
 GAP = LAGS // BLOCK
-#: Labelled rows to fit on, per label, and the longest text among them in bytes.
-FIT_ROWS, FIT_BYTES = 1500, 65_536
+#: Labelled rows to fit on, per label.
+FIT_ROWS = 1500
 #: Bytes that are scored at once.
 SPAN = 1 << 20
 
@@ -151,24 +151,23 @@ def gradients(net: Network, texts: list[bytes], labels: np.ndarray, weight: np.n
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int) -> list[tuple[bytes, int]]:
-    """Up to about ``rows`` texts of each label, from rows that are not held out, chosen by a hash of the id."""
-    own = labels.where(F.col(label).isin(0, 1) & ~held_out("doc_id", 3, 1)).select("doc_id", F.col(label).alias("label")).dropDuplicates(["doc_id"])
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> list[tuple[bytes, int]]:
+    """Up to about ``rows`` texts of each label, from rows that are not held out, chosen by a hash of the id; ids with both labels count as the lesser."""
+    own = labels.where(F.col(label).isin(0, 1) & ~held_out("doc_id", 3, 1)).groupBy("doc_id").agg(F.min(label).alias("label"))
     counts = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
     span = 1 << 20
     keep = F.lit(False)
     for value, n in counts.items():
         keep = keep | ((F.col("label") == value) & (F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(span)) < int(span * min(1.0, rows / n))))
-    chosen = own.where(keep)
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes)
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").collect()
+    # the rows chosen are as many as the parameter says, whatever the tables
+    found = docs.select("doc_id", "text").where("text is not null").join(own.where(keep), "doc_id").select("doc_id", "text", "label").collect()
     return [(r["text"].encode(), r["label"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
 
 
-def score(docs: DataFrame, logits, threshold: float, carry: bool = False) -> DataFrame:
+def score(docs: DataFrame, logits, threshold: float, carry: str | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted of each row; ``logits`` maps a list of texts to numbers on the executors.
 
-    With ``carry``, all columns of ``docs`` and ``__score``.
+    With ``carry``, all columns of ``docs`` and the score under that name.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,19 +175,19 @@ def score(docs: DataFrame, logits, threshold: float, carry: bool = False) -> Dat
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             made = np.concatenate([logits(part) for part in spans(texts)]) if texts else np.empty(0)
             out = batch if carry else batch.select(["doc_id", "held_out"])
-            names = [*out.schema.names, "__score" if carry else "score"]
+            names = [*out.schema.names, carry or "score"]
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(sigmoid(made))], names)
 
     if carry:
-        return docs.mapInArrow(run, StructType([*docs.schema, StructField("__score", DoubleType())]))
+        return docs.mapInArrow(run, StructType([*docs.schema, StructField(carry, DoubleType())]))
     narrow = docs.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "text")
     kind = narrow.schema["doc_id"].dataType.simpleString()
     return narrow.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES, threshold: float = 0.5) -> DataFrame:
-    """Quality of every row of ``docs``, learned from ``labels`` (doc_id, quality) outside the held-out third."""
-    sample = labelled_sample(docs, labels, "quality", rows, most_bytes)
+def classify(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
+    """Quality of every row of ``docs``, learned from ``labels`` (doc_id, quality) outside the held-out third; an id labelled both ways counts as 0."""
+    sample = labelled_sample(docs, labels, "quality", rows)
     marks = np.array([m for _, m in sample], np.float64)
     if not len(marks) or marks.min() == marks.max():
         share = float(np.clip(marks.mean() if len(marks) else 0.5, 1e-6, 1 - 1e-6))

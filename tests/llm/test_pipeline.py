@@ -132,7 +132,7 @@ def test_run_against_its_stages(spark, sf):
     rows = [tuple(r) for r in docs.select(*NAMES).collect()]
     benchmark = [decontam.plain(r.text.encode()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    weights, base = toxicity.learned(docs, labels, toxicity.FIT_TOXIC, toxicity.FIT_UNLABELLED, toxicity.FIT_BYTES)
+    weights, base = toxicity.learned(docs, labels)
 
     def toxic(text):
         hot = {w: max(weights.get(f, 0.0) for f in toxicity.features(w)) for w in toxicity.words_of(text.encode())}
