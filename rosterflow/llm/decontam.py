@@ -231,7 +231,12 @@ def leaks(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT, keep: t
 
 
 def clean(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT) -> DataFrame:
-    """The rows of ``docs`` that leak no item, with all their columns."""
+    """The rows of ``docs`` that leak no item, with all their columns, whatever their names.
+
+    Null and empty texts and items leak nothing; very long texts are searched
+    whole; repeated rows and ties stay or go together. Empty tables give
+    ``docs`` or an empty result.
+    """
 
     def without(df: DataFrame, block: list[tuple]) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast([t for _, t in block])

@@ -8,12 +8,12 @@ its vector. A vector has two parts:
 
 * 8 lanes modulo 2^32: XXH64 of the paragraph under 8 salts; they decide
   equality.
-* 128 lanes modulo 2^16, four to a bigint: for each run of up to 64 code
+* 128 lanes modulo 2^32, two to a bigint: for each run of up to 64 code
   points of the paragraph, the bits of two hashes; with the count of the runs
   they are the coordinates of a random projection, whose cosine estimates how
   much two texts share.
 
-Null text counts as empty. Lanes wrap, so no text is too long for them.
+Null text counts as empty. No text has as many runs as a lane can count.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,17 +21,17 @@ from pyspark.sql import functions as F
 
 from .workspace import table
 
-EXACT, WIDE, RUN = 8, 32, 64
-ONES = 0x0001000100010001
-LOW = 0x7FFF7FFF7FFF7FFF
-HIGH = 0x8000800080008000 - (1 << 64)
+EXACT, WIDE, RUN = 8, 64, 64
+ONES = 0x0000000100000001
+LOW = 0x7FFFFFFF7FFFFFFF
+HIGH = 0x8000000080000000 - (1 << 64)
 WORD = 0xFFFFFFFF
 #: Rows that a neighbour bucket holds at best, and the most buckets there are.
-BUCKET_ROWS, BUCKETS = 1024, 4096
+BUCKET_ROWS, BUCKETS = 1024, 32_768
 
 
 def _lane_add(a: Column, b: Column) -> Column:
-    """Sum of four 16-bit lanes without carries between them."""
+    """Sum of two 32-bit lanes without carries between them."""
     return (a.bitwiseAND(F.lit(LOW)) + b.bitwiseAND(F.lit(LOW))).bitwiseXOR(a.bitwiseXOR(b).bitwiseAND(F.lit(HIGH)))
 
 
@@ -90,13 +90,12 @@ def as_text(f: Column) -> Column:
 
 
 def coordinates(f: Column) -> Column:
-    """array<double> of 128: in how many more runs than not each bit is set, modulo 2^16 around zero."""
+    """array<double> of 128: in how many more runs than not each bit is set."""
 
     def centred(x, shift):
-        ones = F.shiftright(x, shift).bitwiseAND(F.lit(0xFFFF))
-        return ((ones * 2 - f["runs"] + 32768).bitwiseAND(F.lit(0xFFFF)) - 32768).cast("double")
+        return (F.shiftright(x, shift).bitwiseAND(F.lit(WORD)) * 2 - f["runs"]).cast("double")
 
-    return F.flatten(F.transform(f["wide"], lambda x: F.array(*[centred(x, s) for s in (0, 16, 32, 48)])))
+    return F.flatten(F.transform(f["wide"], lambda x: F.array(*[centred(x, s) for s in (0, 32)])))
 
 
 def likeness(f: Column, g: Column, u: Column, v: Column) -> Column:

@@ -16,7 +16,7 @@ ODD = [
 ]
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use inside.
-CLASH = ["fp", "a", "b", "node", "component", "bucket", "score", "length", "tokens", "key", "h", "pos", "words"]
+CLASH = ["fp", "a", "b", "node", "component", "bucket", "score", "length", "tokens", "key", "h", "pos", "words", "__t", "__n", "__d", "__text", "__score", "__starts", "__stops", "__ranges", "__spans", "starts", "stops", "t", "n", "first", "group", "main", "seen", "flat"]
 
 
 @pytest.fixture(scope="session")

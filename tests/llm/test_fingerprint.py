@@ -57,3 +57,13 @@ def test_next_row_over_many_buckets(spark, monkeypatch):
     steps = sorted((a, b) for a, b in pairs.values() if a is not None and b is not None)
     assert steps == sorted(zip(named, named[1:]))
     assert [b for a, b in pairs.values() if a is None].count(named[0]) == 1
+
+
+def test_likeness_of_texts_with_many_equal_runs(spark):
+    many = "\n".join(["one short line"] * 40_000)
+    df = spark.createDataFrame([(many, many[: len(many) // 2], "another\n" * 40_000)], "a string, b string, c string")
+    for c in "abc":
+        df = fp.with_fingerprint(df, c, f"f_{c}")
+    at = {c: fp.coordinates(F.col(f"f_{c}")) for c in "abc"}
+    r = df.select(fp.likeness(F.col("f_a"), F.col("f_b"), at["a"], at["b"]).alias("half"), fp.likeness(F.col("f_a"), F.col("f_c"), at["a"], at["c"]).alias("other")).first()
+    assert r.half > 0.99 and r.other < 0.5

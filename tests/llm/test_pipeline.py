@@ -106,6 +106,26 @@ def test_stages_on_odd_rows(spark, odd, none):
     assert sorted(str(r.doc_id) for r in stages[3](odd).collect()) == ["2", "4", "5", "6", "8", "None"]
 
 
+def test_all_stages_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    labels = spark.createDataFrame([(5, 1, 1), (7, 0, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "Three FOUR\nfive six")], "item_id long, text string")
+    for name, docs in (("odd", odd.select(NAMES)), ("none", none.select(NAMES))):
+        for table_, rows in (("documents", docs), ("labels", labels), ("benchmark", items)):
+            rows.coalesce(1).write.parquet(f"{tmp_path}/{name}/{table_}.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert bool(got) == (name == "odd") and all(0 <= r.offset and r.offset + r.length <= packing.LIMIT for r in got)
+    assert packing.pack(odd).count() == packing.pack(odd.select(NAMES)).count() and packing.pack(none).count() == 0
+
+
+def test_cuts_without_a_count_and_with_ties(spark):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(400))
+    rows = [(1, passage + " A"), (1, passage + " B"), (2, "C " + passage), (2, "C " + passage), (None, passage + " D")]
+    got = sorted(r.text for r in suffix.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # the two rows of the first id are in the order of their hashes, and one of them keeps the passage
+    assert sum(passage in t for t in got) == 1 and len(got) == 5 and sum(t.startswith("C") for t in got) == 2
+
+
 def test_cuts_keep_first_copies_and_whole_characters(spark):
     rng = random.Random(3)
     passage = "".join(rng.choice("äöüßabc é") for _ in range(300))
