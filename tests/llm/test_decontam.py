@@ -95,3 +95,16 @@ def test_walks_are_the_same_alone_and_together():
     for i in range(20):
         own = np.append(buffer[starts[i] : starts[i] + lengths[i]], 0).astype(np.uint8)
         assert (decontam.embed(own, np.array([0]), lengths[i : i + 1], bits) == together[i]).all()
+
+
+def test_walks_of_edited_items_agree_too_seldom_to_find_them_by():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8)))
+    recall = []
+    for k in range(30):
+        item = " ".join(word() for _ in range(100))[:400]
+        bits = np.random.default_rng(k).integers(0, 2, (1200, 256))
+        x, y = (decontam.embed(np.frombuffer((t + " " * 60).encode(), np.uint8), np.array([0]), np.array([400]), bits)[0] for t in (item, edited(rng, item, 36)))
+        agree = (x == y)[(x > 0) | (y > 0)].mean()
+        recall.append(1 - (1 - agree**12) ** 512)
+    assert np.mean(recall) < 0.6
