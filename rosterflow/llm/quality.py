@@ -159,8 +159,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     keep = F.lit(False)
     for value, n in counts.items():
         keep = keep | ((F.col("label") == value) & (F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(span)) < int(span * min(1.0, rows / n))))
-    # the rows chosen are as many as the parameter says, whatever the tables
-    found = docs.select("doc_id", "text").where("text is not null").join(own.where(keep), "doc_id").select("doc_id", "text", "label").collect()
+    chosen = own.where(keep)
+    # about as many as the parameter says, whatever the tables; sent to the texts once that is seen to be so
+    if chosen.count() <= 4 * rows * max(1, len(counts)):
+        chosen = F.broadcast(chosen)
+    found = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").select("doc_id", "text", "label").collect()
     return [(r["text"].encode(), r["label"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
 
 
