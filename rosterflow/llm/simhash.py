@@ -129,8 +129,10 @@ SIMILAR = 0.8
 HOT = 2
 #: How often texts outside a key's largest group meet some of its members, and how many, before they meet all.
 TURNS, LEADERS = 1, 8
-#: The share of texts whose shingles are counted for common ones, the count there that makes one common, and how many are told to workers.
-SHARE, COMMON, TOLD = 1 / 8, 4, 250_000
+#: The count that makes a shingle common, and how many common ones at most are told to workers.
+COMMON, TOLD = 32, 250_000
+#: Levels of counts in each doubling, by which those that are told are chosen.
+LEVELS = 16
 #: Shares of the shingles that are looked up one after the other: only one of them is shuffled at a time.
 SLICES = 4
 #: Longs of a text's sketch.
@@ -142,15 +144,25 @@ def text_key() -> list[Column]:
     return [F.col("doc_id").isNull().cast("int").alias("__n"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("__d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__t")]
 
 
-def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, counts) of the most common shingles of a SHARE of all texts; any answer gives the same links."""
-    span = 1 << 20
-    some = texts.where(F.pmod("t", F.lit(span)) < math.ceil(span * SHARE)).dropDuplicates(["t"])
-    seen = shingle_sets(some, width).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("c"))
-    found = seen.where(F.col("c") >= COMMON).orderBy(F.desc("c"), "gram").limit(TOLD).toArrow()
-    hashes, counts = found["gram"].to_numpy(), found["c"].to_numpy()
+def common_shingles(work: Workspace, texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of the most common shingles, counted in all texts; any answer gives the same links.
+
+    Those told are all above a count, the least by which they are no more than TOLD.
+    """
+    counts = shingle_sets(texts, width).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("c"))
+    often = work.settle(counts.where(F.col("c") >= COMMON).withColumn("level", F.floor(F.log2("c") * LEVELS).cast("int")))
+    least, told = 0, 0
+    # a level is a share of a doubling, so there are at most 64 x LEVELS rows
+    for row in often.groupBy("level").agg(F.count("*").alias("rows")).orderBy(F.desc("level")).collect():
+        told += row.rows
+        if told > TOLD:
+            least = row.level + 1
+            break
+    found = often.where(F.col("level") >= least).select("gram", "c").toArrow()
+    work.drop(often)
+    hashes, counted = found["gram"].to_numpy(), found["c"].to_numpy()
     order = np.argsort(hashes)
-    return hashes[order], counts[order]
+    return hashes[order], counted[order]
 
 
 def prefix(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], similar: float) -> np.ndarray:
@@ -273,7 +285,7 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR)
     keyed = docs.select(*names, *[k.alias(c) for k, c in zip(text_key(), own, strict=True)])
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), *text_key()).withColumnRenamed("__t", "t")
     firsts = work.settle(texts.groupBy("t").agg(F.min(F.struct("__n", "__d")).alias("first")))
-    common = common_shingles(texts, width)
+    common = common_shingles(work, texts, width)
     index = work.settle(prefix_index(texts, width, similar, common).dropDuplicates(["t"]))
     sketches = work.settle(index.select("t", "n", "sketch"))
     slices = []

@@ -88,6 +88,21 @@ def test_every_link_at_the_threshold_is_found(spark):
     assert got == plain_survivors(rows)
 
 
+def test_common_shingles_are_counted_in_all_texts(spark, monkeypatch):
+    texts = ["a b c d e f", "a b c d e g", "a b c d e f", "b c d e f h", "unlike all the other texts here"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "t long, text string")
+    count = lambda: [int(c) for c in simhash.common_shingles(simhash.Workspace(spark), rows, 5)[1]]
+    monkeypatch.setattr(simhash, "COMMON", 2)
+    # "a b c d e" and "b c d e f" are in three texts each
+    assert sorted(count()) == [3, 3]
+    monkeypatch.setattr(simhash, "COMMON", 1)
+    monkeypatch.setattr(simhash, "TOLD", 2)
+    assert sorted(count()) == [3, 3]
+    # a level that does not fit is left out as a whole
+    monkeypatch.setattr(simhash, "TOLD", 1)
+    assert count() == []
+
+
 def test_stages_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(5, 1, 1), (7, 0, 0)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(1, "Three FOUR\nfive six")], "item_id long, text string")
