@@ -1,11 +1,16 @@
 """Turfs from drawn polygons: checks, assignment of buildings, and the nested payload."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
 from .spatial import containing
 
 CODES = 100_000_000
+#: How often codes are drawn before publishing gives up.
+TRIES = 5
 
 
 class PublishError(ValueError):
@@ -73,3 +78,33 @@ def payloads(persons: DataFrame, found: DataFrame, drafts: DataFrame) -> DataFra
 def as_json(turfs: DataFrame) -> DataFrame:
     """idx, data: the payload as JSON with nulls kept."""
     return turfs.select("idx", F.to_json(F.struct("name", F.col("code").alias("turfCode"), "buildings"), {"ignoreNullFields": "false"}).alias("data"))
+
+
+def coded(turfs: DataFrame, taken: DataFrame, tries: int = TRIES) -> DataFrame:
+    """``turfs`` (with idx and code) under codes that neither each other nor ``taken`` (code) have; raises after ``tries`` draws.
+
+    The first draw is the code that is there. All turfs draw again if one
+    collides, as they are written together. There are as many as people drew.
+    """
+    first = turfs.withColumn("__first", F.col("code"))
+    for k in range(tries):
+        drawn = first.withColumn("code", F.col("__first") if k == 0 else code(F.concat_ws("#", "__first", "idx", F.lit(k))))
+        own = drawn.groupBy("code").agg(F.count("*").alias("n"))
+        used = own.join(taken.select("code").distinct().withColumn("used", F.lit(True)), "code", "left")
+        if not used.where("n > 1 or used").limit(1).count():
+            return drawn.drop("__first")
+    raise PublishError(f"no free codes after {tries} draws")
+
+
+def publish(persons: DataFrame, drafts: DataFrame, taken: DataFrame, write: Callable[[DataFrame], None]) -> DataFrame:
+    """Checks ``drafts``, hands their turfs to ``write`` in one go, and returns idx, name, code and counts of each.
+
+    ``persons`` have building_id, longitude and latitude; those without a place
+    are in no turf. ``taken`` (code) are the codes of earlier turfs. Nothing is
+    written if a building lies in two drafts, a draft is empty or codes run out.
+    """
+    found = stored(hits(persons.select("building_id", "longitude", "latitude").distinct(), drafts))
+    check(found, drafts)
+    turfs = stored(coded(payloads(persons, found, drafts), taken))
+    write(turfs)
+    return turfs.select("idx", "name", "code", "building_count", "door_count", "person_count")
