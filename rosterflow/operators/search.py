@@ -54,3 +54,9 @@ def documents(persons: DataFrame) -> DataFrame:
     key = name_key(F.col("last_name"), F.col("first_name"))
     body = F.struct(*DOCUMENT, packed(key, 1).alias("sort_key_hi"), packed(key, 9).alias("sort_key_lo"))
     return persons.select("external_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("line"))
+
+
+def write_ndjson(persons: DataFrame, path: str, lines_a_file: int = 100_000) -> None:
+    """The documents as text files of at most ``lines_a_file`` lines, by external_id within and across files."""
+    ordered = documents(persons).repartitionByRange("external_id").sortWithinPartitions("external_id")
+    ordered.select("line").write.mode("overwrite").option("maxRecordsPerFile", lines_a_file).text(path)
