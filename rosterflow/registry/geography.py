@@ -133,14 +133,21 @@ def addresses(s, d) -> DataFrame:
 
 
 SQUARES = [(i, -74 + 0.004 * i, 40 + 0.01 * i) for i in range(8)]
+#: One more draft over the first two, and one where nobody lives.
+CROSSED = [*SQUARES, (8, -74 + 0.001, 40 + 0.002), (9, 10.0, 10.0)]
 
 
-def squares(s, size: float = 0.005) -> DataFrame:
-    rows = [(f"d{i}", i % 3, [{"x": x + dx, "y": y + dy} for dx, dy in ((0.0, 0.0), (size, 0.0), (size, 2 * size), (0.0, 2 * size), (0.0, 0.0))]) for i, x, y in SQUARES]
+def squares(s, size: float = 0.005, corners=SQUARES) -> DataFrame:
+    rows = [(f"d{i}", i % 3, [{"x": x + dx, "y": y + dy} for dx, dy in ((0.0, 0.0), (size, 0.0), (size, 2 * size), (0.0, 2 * size), (0.0, 0.0))]) for i, x, y in corners]
     return s.createDataFrame(rows, "turf_draft_id string, sort_order int, ring array<struct<x: double, y: double>>")
 
 
-SQUARES_SQL = "squares AS (SELECT * FROM (VALUES " + ", ".join(f"('d{i}', {i % 3}, {x!r}::DOUBLE, {y!r}::DOUBLE)" for i, x, y in SQUARES) + ") v(turf_draft_id, sort_order, x0, y0)), drafts AS (SELECT *, row_number() OVER (ORDER BY sort_order, turf_draft_id) - 1 AS idx FROM squares)"
+def drawn_sql(corners) -> str:
+    listed = ", ".join(f"('d{i}', {i % 3}, {x!r}::DOUBLE, {y!r}::DOUBLE)" for i, x, y in corners)
+    return f"squares AS (SELECT * FROM (VALUES {listed}) v(turf_draft_id, sort_order, x0, y0)), drafts AS (SELECT *, row_number() OVER (ORDER BY sort_order, turf_draft_id) - 1 AS idx FROM squares)"
+
+
+SQUARES_SQL, CROSSED_SQL = drawn_sql(SQUARES), drawn_sql(CROSSED)
 # a ray to the right crosses the left edge never and the right edge once
 INSIDE = "(y0 > {y}) <> (y0 + 2 * 0.005 > {y}) AND {x} < x0 + 0.005 AND NOT ({x} < x0)"
 LOOKUP = rf"""keyed AS (SELECT *, array_to_string(list_sort({expand(tokens(rewrite('street')))}), '|') AS canonical_key, {norm('housenumber')} AS housenumber_norm FROM addresses WHERE zip_code IS NOT NULL),
@@ -163,8 +170,15 @@ PLACES = "places AS (SELECT * EXCLUDE (longitude, latitude), -74 + (building_i %
 HITS = f"hits AS (SELECT DISTINCT building_id, turf_draft_id, idx FROM places JOIN drafts ON {INSIDE.format(x='longitude', y='latitude')})"
 
 
-def found(s, d) -> DataFrame:
-    return publish.hits(places(s, d).select("building_id", "longitude", "latitude").distinct(), squares(s))
+def found(s, d, corners=SQUARES) -> DataFrame:
+    return publish.hits(places(s, d).select("building_id", "longitude", "latitude").distinct(), squares(s, corners=corners))
+
+
+def published(s, d) -> DataFrame:
+    """The whole operation over the drafts that hold a building, with a sink that keeps nothing; codes are hashes, so they are left out."""
+    inhabited = squares(s).join(found(s, d), "turf_draft_id", "left_semi")
+    out = publish.publish(places(s, d), inhabited, s.createDataFrame([], "code string"), lambda t: t.write.format("noop").mode("overwrite").save())
+    return out.select(F.col("idx").cast("bigint"), "name", *[F.col(c).cast("bigint") for c in ("building_count", "door_count", "person_count")])
 
 
 def positions(s, d) -> DataFrame:
@@ -393,6 +407,9 @@ MORE = {
     "publish_assign": (lambda s, d: publish.assigned(found(s, d)).select("building_id", F.col("idx").cast("bigint")), with_sql("SELECT building_id, min(idx) AS idx FROM hits GROUP BY 1", (P,), PLACES, SQUARES_SQL, HITS)),
     "publish_ambiguous": (lambda s, d: publish.ambiguous(found(s, d)), with_sql("SELECT building_id, count(*) AS drafts FROM hits GROUP BY 1 HAVING count(*) >= 2", (P,), PLACES, SQUARES_SQL, HITS)),
     "publish_empty": (lambda s, d: publish.empty(found(s, d), squares(s)), with_sql("SELECT turf_draft_id FROM squares WHERE turf_draft_id NOT IN (SELECT turf_draft_id FROM hits)", (P,), PLACES, SQUARES_SQL, HITS)),
+    "publish_crossed": (lambda s, d: publish.ambiguous(found(s, d, CROSSED)), with_sql("SELECT building_id, count(*) AS drafts FROM hits GROUP BY 1 HAVING count(*) >= 2", (P,), PLACES, CROSSED_SQL, HITS)),
+    "publish_uninhabited": (lambda s, d: publish.empty(found(s, d, CROSSED), squares(s, corners=CROSSED)), with_sql("SELECT turf_draft_id FROM squares WHERE turf_draft_id NOT IN (SELECT turf_draft_id FROM hits)", (P,), PLACES, CROSSED_SQL, HITS)),
+    "publish_turfs": (published, with_sql("SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, 'Turf ' || cast(row_number() OVER (ORDER BY idx) AS string) AS name, building_count, door_count, person_count FROM (SELECT idx, 'Turf ' || cast(idx + 1 AS string) AS name, count(DISTINCT building_id) AS building_count, count(DISTINCT door) AS door_count, count(external_id) AS person_count FROM drafts LEFT JOIN (SELECT external_id, building_id, address_line_1 || coalesce(address_line_2, '') || zip5 AS door, (SELECT min(h.idx) FROM hits h WHERE h.building_id = p.building_id) AS idx FROM places p) USING (idx) GROUP BY 1) WHERE building_count > 0", (P,), PLACES, SQUARES_SQL, HITS)),
     "publish_payload": (lambda s, d: publish.payloads(places(s, d), found(s, d), squares(s)).select(F.col("idx").cast("bigint"), "name", *[F.col(c).cast("bigint") for c in ("building_count", "door_count", "person_count")]), with_sql("SELECT idx, 'Turf ' || cast(idx + 1 AS string) AS name, count(DISTINCT building_id) AS building_count, count(DISTINCT door) AS door_count, count(external_id) AS person_count FROM drafts LEFT JOIN (SELECT external_id, building_id, address_line_1 || coalesce(address_line_2, '') || zip5 AS door, (SELECT min(h.idx) FROM hits h WHERE h.building_id = p.building_id) AS idx FROM places p) USING (idx) GROUP BY 1", (P,), PLACES, SQUARES_SQL, HITS)),
     "blockface_relationships": (grid_relations, RELATIONS),
     "nys_transform": (lambda s, d: importer.canonical(raw_roster(s, d)).select("external_id", "address_line_1", "address_line_2", "half_code", "enrollment", "date_of_birth", "registration_status", "precinct"), NYS),
