@@ -127,8 +127,10 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
 SIMILAR = 0.8
 #: Texts under a shared shingle that are compared with its least text before they meet each other.
 HOT = 2
-#: How often texts outside a key's largest group meet some of its members, and how many, before they meet all.
+#: How often at least texts outside a key's largest group meet some of its members, and how many, before they meet all.
 TURNS, LEADERS = 1, 8
+#: Further turns go on while each leaves no more than this share of the rows outside.
+FEWER = 0.75
 #: The count that makes a shingle common, and how many common ones at most are told to workers.
 COMMON, TOLD = 32, 250_000
 #: Levels of counts in each doubling, by which those that are told are chosen.
@@ -188,23 +190,33 @@ def apart_by(a: str, b: str) -> Column:
 
 
 def prefix_index(texts: DataFrame, width: int, similar: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """t, n (distinct shingles), first (their prefix) and sketch of each row of ``texts`` (t, text) that has a word."""
+    """t, n (distinct shingles), first (their prefix), sketch and fp (fingerprint) of each row of ``texts`` (t, text) that has a word."""
     told = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, size, first, sketches = [], [], [], []
+            kept, size, first, sketches, fp = [], [], [], [], []
             for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-                grams = np.unique(shingle_hashes(text or b"", width).view(np.int64))
+                hashes = shingle_hashes(text or b"", width)
+                grams = np.unique(hashes.view(np.int64))
                 if len(grams):
                     kept.append(i)
                     size.append(len(grams))
                     first.append(prefix(grams, told.value, similar))
                     sketches.append(sketch(grams))
-            arrays = [batch.column("t").take(pa.array(kept, pa.int32())), pa.array(size, pa.int32()), *(pa.array(v, pa.list_(pa.int64())) for v in (first, sketches))]
-            yield pa.RecordBatch.from_arrays(arrays, ["t", "n", "first", "sketch"])
+                    fp.append(majority(hashes))
+            arrays = [batch.column("t").take(pa.array(kept, pa.int32())), pa.array(size, pa.int32()), *(pa.array(v, pa.list_(pa.int64())) for v in (first, sketches)), pa.array(fp, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["t", "n", "first", "sketch", "fp"])
 
-    return texts.select("t", "text").mapInArrow(run, "t bigint, n int, first array<bigint>, sketch array<bigint>")
+    return texts.select("t", "text").mapInArrow(run, "t bigint, n int, first array<bigint>, sketch array<bigint>, fp bigint")
+
+
+def met_by_fingerprint(prints: DataFrame) -> DataFrame:
+    """(t, u) to be verified, by SimHash: each text (t, fp) with the first of its fingerprint, and the first ones of fingerprints within RADIUS bits."""
+    first = prints.groupBy("fp").agg(F.min("t").alias("u"))
+    same = prints.join(first, "fp").where("t <> u").select("t", "u")
+    one, other = first.select(F.col("fp").alias("a"), F.col("u").alias("t")), first.select(F.col("fp").alias("b"), "u")
+    return same.unionAll(links(first.select("fp")).join(one, "a").join(other, "b").select("t", "u"))
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -262,7 +274,9 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR)
     """``docs`` without near copies: of texts linked by a Jaccard similarity of word shingles of ``similar`` or more, one row stays.
 
     Equal texts collapse first; the row with the smallest id stays (null last)
-    and stands for them. Links are found exactly, by a prefix filter: texts at
+    and stands for them. SimHash finds the closest ones: fingerprints that
+    differ in two bits or fewer, by multi-index hashing, verified like all
+    others. All other links are found exactly, by a prefix filter: texts at
     ``similar`` have one of their first n - ceil(similar x n) + 1 shingles in
     common, in any order that is the same for all texts. Rare shingles come
     first in it, so what many texts share is seldom looked up. Pairs that the
@@ -272,9 +286,9 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR)
 
     Texts under a key that more than HOT of them share are compared with one
     of them first, those that are not in its largest group by then with some
-    of that group in turns, and those still outside with all, so groups are
-    those of all links whatever the size of a key. Texts only go when all
-    groups are known.
+    of that group, in turns for as long as these bring a good share of them in,
+    and those still outside with all, so groups are those of all links whatever
+    the size of a key. Texts only go when all groups are known.
     A text without words (null counts as empty) only has equal ones; very long
     texts are compared whole; of rows that are repeated as a whole one stays. All
     columns are kept, whatever their names. An empty table gives an empty result.
@@ -288,6 +302,7 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR)
     common = common_shingles(work, texts, width)
     index = work.settle(prefix_index(texts, width, similar, common).dropDuplicates(["t"]))
     sketches = work.settle(index.select("t", "n", "sketch"))
+    prints = work.settle(index.select("t", "fp"))
     slices = []
     for k in range(SLICES):
         entries = index.select("t", "n", F.posexplode("first").alias("i", "key")).where(F.pmod("key", F.lit(SLICES)) == k)
@@ -299,23 +314,28 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR)
     fits = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= similar / (1 + similar) * (F.col("n") + F.col("m")) - 1e-9
     met = hits.where((F.col("c") <= HOT) | (F.col("t") == F.col("least"))).select("key", F.col("t").alias("u"), F.col("n").alias("m"), F.col("i").alias("j"))
     found = hits.join(met, "key").where((F.col("t") != F.col("u")) & fits)
+    found = met_by_fingerprint(prints).unionAll(found.select("t", "u"))
     labels = work.settle(connected(work, similar_pairs(work, texts, sketches, found, width, similar)))
+    work.drop(prints)
     # texts outside the largest group of a hot key meet some of its members first, which leaves few of a group of copies, and then all
     hot = hits.where(F.col("c") > HOT).select("key", "t", "n", "i")
-    for turn in range(TURNS + 1):
+    turn, before, last = 0, math.inf, False
+    while not last:
         group = labels.select(F.col("node").alias("t"), "component")
         grouped = hot.join(group, "t", "left").withColumn("group", F.coalesce("component", "t")).drop("component")
         groups = grouped.groupBy("key", "group").agg(F.count("*").alias("c"))
         several = groups.groupBy("key").agg(F.max_by("group", F.struct("c", "group")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
         split = work.settle(grouped.join(several.select("key", "main"), "key"))
-        if not split.limit(1).count():
+        outside = split.where("group <> main").count()
+        if not outside:
             work.drop(split)
             break
-        across = met_outside(split, turn) if turn < TURNS else all_outside(split)
+        last = turn >= TURNS and outside > before * FEWER
+        across = all_outside(split) if last else met_outside(split, turn)
         linked = similar_pairs(work, texts, sketches, across.where(fits), width, similar)
         joined = work.settle(connected(work, linked.unionAll(labels.select("node", "component"))))
         work.drop(split, linked, labels)
-        labels = joined
+        labels, turn, before = joined, turn + 1, outside
     work.drop(*slices)
     who = labels.join(firsts, labels["node"] == firsts["t"])
     stays = who.groupBy("component").agg(F.min_by("node", "first").alias("stays"))
