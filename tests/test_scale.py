@@ -1,9 +1,13 @@
 """What only shows on larger tables than the smallest, on small ones made like them."""
 
+import time
+
 import duckdb
+from pyspark.sql import functions as F
 
 from rosterflow.operators import matching
 from rosterflow.registry import geography
+from rosterflow.sources.stored import stored
 from tests.oracle import differences
 
 
@@ -44,3 +48,20 @@ def test_no_pair_is_shuffled(spark):
     # nothing but columns is above the place where lists become pairs, in the branch of persons with one address
     top = plan[: plan.index("Generate explode(faces")]
     assert "Join" not in top and "Aggregate" not in top and "Window" not in top and "Repartition" not in top
+
+
+def test_segments_are_shuffled_once_to_be_listed(spark):
+    sides = streets(spark)[1].localCheckpoint()
+    plan = matching._listed(sides, ["blockface_id", "full_name"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_shuffle_files_go_once_a_table_is_stored(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {n for n in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in n}
+    before = shuffles()
+    table = stored(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 10
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before and len(table.collect()) == 7
