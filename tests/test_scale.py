@@ -5,7 +5,8 @@ import time
 import duckdb
 from pyspark.sql import functions as F
 
-from rosterflow.operators import matching
+from rosterflow.operators import geocode, matching
+from rosterflow.operators.custom_fields import one_hash
 from rosterflow.registry import geography
 from rosterflow.sources.stored import stored
 from tests.oracle import differences
@@ -65,3 +66,24 @@ def test_shuffle_files_go_once_a_table_is_stored(spark):
     while shuffles() - before and time.time() < until:
         time.sleep(0.1)
     assert not shuffles() - before and len(table.collect()) == 7
+
+
+def left_by(spark, work) -> set[str]:
+    """Shuffle files that are still there 5 seconds after ``work``."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {n for n in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in n}
+    before, until = shuffles(), time.time() + 5
+    work()
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    return shuffles() - before
+
+
+def test_comparing_hashes_leaves_no_shuffle_files(spark):
+    rows = spark.range(100).select(F.col("id").cast("string").alias("external_id"), F.col("id").alias("person_h"))
+    assert not left_by(spark, lambda: one_hash(rows))
+
+
+def test_buildings_are_looked_up_once_for_complexes(spark):
+    known = geocode.building_lookup(geography.addresses(spark, "/root/testdata/sf0.001"), geography.squares(spark))
+    assert "Window" not in known._jdf.queryExecution().optimizedPlan().toString()
