@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from rosterflow.llm import simhash
+from rosterflow.llm import components, simhash
 from rosterflow.llm.components import connected
 from rosterflow.llm.workspace import Workspace
 
@@ -73,3 +73,15 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7)]
     got = connected(Workspace(spark), spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.component for r in got} == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
+
+
+def test_few_links_are_labelled_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-900, 900, (700, 2))] + [(5000 + i, 5000 + (i + 1) % 300) for i in range(299)] + [(-(2**63), 2**63 - 1), (7, 7)]
+    links, rows = spark.createDataFrame(edges, "a long, b long"), lambda df: sorted(map(tuple, df.collect()))
+    work, written = Workspace(spark), []
+    monkeypatch.setattr(work, "settle", lambda df, f=work.settle: written.append(1) or f(df))
+    got = rows(connected(work, links))
+    assert len(written) == 1
+    monkeypatch.setattr(components, "FEW", 0)
+    assert got == rows(connected(work, links)) and len(written) > 2
