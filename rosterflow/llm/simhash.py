@@ -127,10 +127,8 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
 SIMILAR = 0.8
 #: Texts under a shared shingle that are compared with its least text before they meet each other.
 HOT = 2
-#: How often at least texts outside a key's largest group meet some of its members, and how many, before they meet all.
-TURNS, LEADERS = 1, 8
-#: Further turns go on while each leaves no more than this share of the rows outside.
-FEWER = 0.75
+#: Texts under a shared shingle from which on they meet by their differences; where fewer are still in several groups, they meet each other.
+WIDE = 32
 #: The count that makes a shingle common, and how many common ones at most are told to workers.
 COMMON, TOLD = 32, 250_000
 #: Levels of counts in each doubling, by which those that are told are chosen.
@@ -167,14 +165,18 @@ def common_shingles(work: Workspace, texts: DataFrame, width: int) -> tuple[np.n
     return hashes[order], counted[order]
 
 
+def heat(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The counts of shingles, 0 for those that are not ``common``."""
+    hashes, counts = common
+    if not len(hashes):
+        return np.zeros(len(grams), np.int64)
+    at = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
+    return np.where(hashes[at] == grams, counts[at], 0)
+
+
 def prefix(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], similar: float) -> np.ndarray:
     """The first shingles, rare ones first, of which two texts at ``similar`` or more have one in common."""
-    hashes, counts = common
-    heat = np.zeros(len(grams), np.int64)
-    if len(hashes):
-        at = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
-        heat = np.where(hashes[at] == grams, counts[at], 0)
-    return grams[np.lexsort((grams, heat))][: len(grams) - math.ceil(similar * len(grams) - 1e-9) + 1]
+    return grams[np.lexsort((grams, heat(grams, common)))][: len(grams) - math.ceil(similar * len(grams) - 1e-9) + 1]
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
@@ -253,23 +255,78 @@ def unlike(similar: float, n: str, m: str) -> Column:
     return (F.col(n) + F.col(m)) * ((1 - similar) / (1 + similar)) + 1e-6
 
 
-def met_outside(split: DataFrame, turn: int) -> DataFrame:
-    """Rows of ``split`` (key, t, n, i, group, main) outside their key's main group, each with LEADERS texts (u, m, j) of it."""
-    text = ["t", "n", "i"]
-    drawn = [F.min(F.struct(F.xxhash64("t", F.lit(turn * LEADERS + k)).alias("draw"), *text)).alias(f"l{k}") for k in range(LEADERS)]
-    leaders = split.where(F.col("group") == F.col("main")).groupBy("key").agg(*drawn)
-    leaders = leaders.select("key", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"l{k}.{c}") for c in text]) for k in range(LEADERS)]))).alias("leader"))
-    leaders = leaders.select("key", F.col("leader.t").alias("u"), F.col("leader.n").alias("m"), F.col("leader.i").alias("j"))
-    return split.where("group <> main").join(leaders, "key")
-
-
 def all_outside(split: DataFrame) -> DataFrame:
-    """Rows of ``split``, each with all texts under its key that are in another group, neither of them the main one or only one."""
+    """Rows of ``split`` (key, t, n, i, group, main), each with all texts (u, m, j) under its key that are in another group, neither of them the main one or only one."""
     other = split.where("group <> main").select("key", F.col("group").alias("other"), F.col("t").alias("u"), F.col("n").alias("m"), F.col("i").alias("j"))
     once = (F.col("group") == F.col("main")) | (F.col("t") < F.col("u"))
     return split.join(other, "key").where((F.col("group") != F.col("other")) & once)
 
 
+def middles(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """main, middle: the shingles (gram) that over half of a main group's texts have, and how many of these lack each."""
+    own = members.where("group = main")
+    counts = own.join(sets, "t").select("main", F.explode("grams").alias("gram")).groupBy("main", "gram").agg(F.count("*").alias("c"))
+    often = counts.join(own.groupBy("main").agg(F.count("*").alias("size")), "main").where(F.col("c") * 2 > F.col("size"))
+    return often.groupBy("main").agg(F.collect_list(F.struct("gram", (F.col("size") - F.col("c")).alias("lacking"))).alias("middle"))
+
+
+def unlike_middle(members: DataFrame, sets: DataFrame, middle: DataFrame, common: tuple[np.ndarray, np.ndarray], similar: float) -> DataFrame:
+    """main, t, group, n, d (in how many shingles the text and the middle differ) and first (those shingles, rare ones first) of each row of ``members``.
+
+    A pair at ``similar`` differs in no more shingles than (1 - similar) / similar
+    of either text's, so all but that many of each text's d are in common, and
+    ``first`` need not be longer.
+    """
+    told = members.sparkSession.sparkContext.broadcast(common)
+    spare = (1 - similar) / similar
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, far, first = [], [], []
+            texts, grams, lacking = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("grams", "gram", "lacking"))
+            for text, shared, less in zip(texts, grams, lacking, strict=True):
+                has, lacks = ~np.isin(text, shared), ~np.isin(shared, text)
+                differ = np.concatenate([text[has], shared[lacks]])
+                rare = np.concatenate([heat(text[has], told.value), less[lacks]])
+                size.append(len(text))
+                far.append(len(differ))
+                first.append(differ[np.lexsort((differ, rare))][: math.floor(spare * len(text) + 1e-6) + 1])
+            arrays = [*(batch.column(c) for c in ("main", "t", "group")), *(pa.array(v, pa.int32()) for v in (size, far)), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["main", "t", "group", "n", "d", "first"])
+
+    grams, lacking = (F.coalesce(f"middle.{c}", F.array().cast("array<bigint>")).alias(c) for c in ("gram", "lacking"))
+    rows = members.join(sets, "t").join(middle, "main", "left").select("main", "t", "group", "grams", grams, lacking)
+    return rows.mapInArrow(run, "main bigint, t bigint, group bigint, n int, d int, first array<bigint>")
+
+
+def met_by_difference(work: Workspace, rows: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """(t, u) to be verified, and the table they come from: every pair of similar texts of one main of ``rows``, but for what other pairs link.
+
+    Sets that differ from the middle in d and b shingles differ from each other
+    in d + b less twice those differences that they have in common. Texts may
+    differ in k(n) + k(m). So where d - k(n) and b - k(m) are 0 or less in sum, the
+    texts are linked, each also with the text in which this is least, the nearest:
+    they meet that one only. All others must have half that sum of their
+    differences in common, which makes a prefix filter. The edits of copies of one
+    text are all there is in it, and they share few of them.
+    """
+    share = (1 - similar) / (1 + similar)
+    over = F.col("d") - share * F.col("n")
+    nearest = rows.groupBy("main").agg(F.min(over).alias("least"), F.min_by("t", F.struct(over.alias("over"), "t")).alias("nearest"))
+    placed = work.settle(rows.withColumn("over", over).join(nearest, "main").withColumn("far", F.col("over") + F.col("least") > -1e-6))
+    found = placed.where("over + least < 1e-6 and t <> nearest").select("t", F.col("nearest").alias("u"))
+    # far texts meet all, the others only far ones
+    common = F.greatest((F.col("over") + F.when(F.col("far"), F.col("least")).otherwise(-F.col("least"))) / 2, F.col("d") - (1 - similar) / similar * F.col("n"))
+    length = F.col("d") - F.greatest(F.ceil(common - 1e-6), F.lit(1)) + 1
+    entries = placed.select("main", "t", "group", "n", "d", "over", "far", F.posexplode(F.slice("first", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("i", "key"))
+    other = entries.where("far").select("main", "key", *(F.col(a).alias(b) for a, b in (("group", "other"), ("t", "u"), ("n", "m"), ("d", "b"), ("over", "above"), ("i", "j"))))
+    once = ~F.col("far") | (F.col("t") < F.col("u"))
+    sizes = F.least("n", "m") >= similar * F.greatest("n", "m") - 1e-6
+    fits = F.least(F.col("d") - F.col("i"), F.col("b") - F.col("j")) >= (F.col("over") + F.col("above")) / 2 - 1e-6
+    across = entries.join(other, ["main", "key"]).where((F.col("group") != F.col("other")) & once & sizes & fits)
+    return found.unionAll(across.select("t", "u")), placed
+
+
 def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR) -> DataFrame:
     """``docs`` without near copies: of texts linked by a Jaccard similarity of word shingles of ``similar`` or more, one row stays.
 
@@ -285,10 +342,11 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR)
     first by row stays, and the rest goes.
 
     Texts under a key that more than HOT of them share are compared with one
-    of them first, those that are not in its largest group by then with some
-    of that group, in turns for as long as these bring a good share of them in,
-    and those still outside with all, so groups are those of all links whatever
-    the size of a key. Texts only go when all groups are known.
+    of them first. Where that leaves several groups under a key, its texts meet those of
+    other groups if they are fewer than WIDE. More texts are described by how they
+    differ from the middle of the key's largest group, and meet by these
+    differences, again by a prefix filter that loses no link, so groups are those of all
+    links whatever the size of a key. Texts only go when all groups are known.
     A text without words (null counts as empty) only has equal ones; very long
     texts are compared whole; of rows that are repeated as a whole one stays. All
     columns are kept, whatever their names. An empty table gives an empty result.
@@ -317,25 +375,21 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similar: float = SIMILAR)
     found = met_by_fingerprint(prints).unionAll(found.select("t", "u"))
     labels = work.settle(connected(work, similar_pairs(work, texts, sketches, found, width, similar)))
     work.drop(prints)
-    # texts outside the largest group of a hot key meet some of its members first, which leaves few of a group of copies, and then all
-    hot = hits.where(F.col("c") > HOT).select("key", "t", "n", "i")
-    turn, before, last = 0, math.inf, False
-    while not last:
-        group = labels.select(F.col("node").alias("t"), "component")
-        grouped = hot.join(group, "t", "left").withColumn("group", F.coalesce("component", "t")).drop("component")
-        groups = grouped.groupBy("key", "group").agg(F.count("*").alias("c"))
-        several = groups.groupBy("key").agg(F.max_by("group", F.struct("c", "group")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
-        split = work.settle(grouped.join(several.select("key", "main"), "key"))
-        outside = split.where("group <> main").count()
-        if not outside:
-            work.drop(split)
-            break
-        last = turn >= TURNS and outside > before * FEWER
-        across = all_outside(split) if last else met_outside(split, turn)
-        linked = similar_pairs(work, texts, sketches, across.where(fits), width, similar)
-        joined = work.settle(connected(work, linked.unionAll(labels.select("node", "component"))))
-        work.drop(split, linked, labels)
-        labels, turn, before = joined, turn + 1, outside
+    # where a hot key still has several groups, texts meet those in others, or by their differences from the middle of the largest
+    group = labels.select(F.col("node").alias("t"), "component")
+    grouped = hits.where(F.col("c") > HOT).join(group, "t", "left").select("key", "t", "n", "i", "c", F.coalesce("component", "t").alias("group"))
+    groups = grouped.groupBy("key", "group").agg(F.count("*").alias("c"))
+    several = groups.groupBy("key").agg(F.max_by("group", F.struct("c", "group")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+    split = work.settle(grouped.join(several.select("key", "main"), "key"))
+    members = work.settle(split.where(F.col("c") >= WIDE).select("main", "t", "group").distinct())
+    sets = work.settle(shingle_sets(texts.join(members.select("t").distinct(), "t").dropDuplicates(["t"]), width))
+    middle = work.settle(middles(members, sets))
+    rows = work.settle(unlike_middle(members, sets, middle, common, similar))
+    work.drop(sets, middle)
+    differing, placed = met_by_difference(work, rows, similar)
+    found = differing.unionAll(all_outside(split.where(F.col("c") < WIDE)).where(fits).select("t", "u"))
+    labels = work.settle(connected(work, similar_pairs(work, texts, sketches, found, width, similar).unionAll(labels.select("node", "component"))))
+    work.drop(split, members, rows, placed)
     work.drop(*slices)
     who = labels.join(firsts, labels["node"] == firsts["t"])
     stays = who.groupBy("component").agg(F.min_by("node", "first").alias("stays"))

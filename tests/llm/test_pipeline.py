@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -88,6 +89,74 @@ def test_every_link_at_the_threshold_is_found(spark):
     assert got == plain_survivors(rows)
 
 
+def loose_copies(seed, copies, words=136):
+    """Copies of one text with one to five edits: some are like it, some like other copies, some like none."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, texts = [word() for _ in range(words)], []
+    for _ in range(copies):
+        places = set(rng.sample(range(words), rng.randint(1, 5)))
+        texts.append([word() if i in places else w for i, w in enumerate(base)])
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_pairs_of_one_large_group_grow_with_its_size(spark, monkeypatch):
+    met = []
+
+    def counted(work, texts, sketches, found, *more, of=simhash.similar_pairs):
+        found = work.settle(found)
+        met[-1] += found.count()
+        return of(work, texts, sketches, found, *more)
+
+    monkeypatch.setattr(simhash, "similar_pairs", counted)
+    for copies in (150, 600):
+        met.append(0)
+        rows = loose_copies(4, copies)
+        got = sorted(r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == plain_survivors(rows)
+    assert met[1] <= 6 * met[0]
+
+
+def test_differences_from_a_middle_lose_no_link(spark):
+    rng = random.Random(8)
+    sets, group = {}, {}
+    for main, size in ((-1, 40), (-2, 9), (-3, 60)):
+        base = [rng.getrandbits(40) for _ in range(size)]
+        for i in range(90):
+            few = rng.choice([0.02, 0.05, 0.1, 0.15, 0.5])
+            own = {g for g in base if rng.random() > few} | {rng.getrandbits(40) for _ in range(rng.randint(0, int(few * size) + 1))}
+            t = -main * 1000 + i
+            sets[t], group[t] = own | {7}, main if i % 3 == 0 else t
+    # no middle: a main group of unlike texts
+    for i in range(30):
+        sets[9000 + i], group[9000 + i] = {rng.randrange(12) for _ in range(6)}, -9 if i < 9 else 9000 + i
+    main = {t: -(t // 1000) for t in sets}
+    members = spark.createDataFrame([(main[t], t, g) for t, g in group.items()], "main long, t long, group long")
+    grams = spark.createDataFrame([(t, sorted(v)) for t, v in sets.items()], "t long, grams array<long>")
+    told = np.array([], np.int64), np.array([], np.int64)
+    described = simhash.unlike_middle(members, grams, simhash.middles(members, grams), told, 0.8)
+    found, _ = simhash.met_by_difference(simhash.Workspace(spark), described, 0.8)
+
+    def groups(pairs):
+        root = {x: x for x in [*sets, *main.values()]}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in [*group.items(), *pairs]:
+            root[find(a)] = find(b)
+        found = [find(t) for t in sets]
+        return [found.index(f) for f in found]
+
+    like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = [(a, b) for a in sets for b in sets if a < b and main[a] == main[b] and like(a, b)]
+    met = {(min(r), max(r)) for r in found.collect()}
+    assert groups(p for p in met if like(*p)) == groups(want)
+    assert len(groups(want)) > len(set(groups(want))) > 3 and len(met) < len(want)
+
+
 def test_common_shingles_are_counted_in_all_texts(spark, monkeypatch):
     texts = ["a b c d e f", "a b c d e g", "a b c d e f", "b c d e f h", "unlike all the other texts here"]
     rows = spark.createDataFrame(list(enumerate(texts)), "t long, text string")
